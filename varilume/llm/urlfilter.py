@@ -97,6 +97,10 @@ def keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(suffixes, lambda h: F.transform(heads, lambda p: F.concat(h, p))))
 
 
+def _hit(verdict: str):
+    return lambda k: F.struct((-F.length(k)).alias("n"), k.alias("rule"), F.lit(verdict).alias("verdict"))
+
+
 def judge(pages: DataFrame, rules: dict[str, tuple[str, ...]]) -> DataFrame:
     """One row per page: (page_id, host, path, rule, verdict).
 
@@ -114,8 +118,7 @@ def judge(pages: DataFrame, rules: dict[str, tuple[str, ...]]) -> DataFrame:
     found = F.array().cast("array<struct<n:int,rule:string,verdict:string>>")
     for verdict, listed in rules.items():
         cascade = Cascade.build(spark.createDataFrame([(r,) for r in listed], "key string"), universe)
-        hits = F.transform(F.filter(candidates, cascade.has), lambda k, v=verdict: F.struct((-F.length(k)).alias("n"), k.alias("rule"), F.lit(v).alias("verdict")))
-        found = F.concat(found, hits)
+        found = F.concat(found, F.transform(F.filter(candidates, cascade.has), _hit(verdict)))
     best = F.array_min(found)
     return parsed.select("page_id", "host", "path", best.alias("best")).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
