@@ -1,0 +1,92 @@
+"""What an edit does to the coding sequence: codons, peptides and their predicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from varilume.functions.dna import revcomp, translate
+from varilume.operators.classify import cdna_position
+
+NONE = ("synonymous", "missense", "stop_gained", "stop_lost", "stop_retained", "start_lost", "start_retained", "frameshift", "inframe_deletion", "inframe_insertion", "protein_altering", "partial_codon", "coding_unknown")
+
+
+def project(df: DataFrame) -> DataFrame:
+    """df of pairs with cdna_start/end, cds_start_pos/end_pos and protein_start/end of the feature span.
+
+    An insertion is the reversed interval of the bases beside it; what doesn't map is null. The offset of the coding part
+    counts as the first coding base's place in the transcript.
+    """
+    strand, exons = F.col("strand"), F.col("exons")
+    fwd = strand >= 0
+    df = df.withColumns(
+        {
+            "_c1": cdna_position(F.when(fwd, F.col("feature_start1")).otherwise(F.col("feature_end1")), strand, exons),
+            "_c2": cdna_position(F.when(fwd, F.col("feature_end1")).otherwise(F.col("feature_start1")), strand, exons),
+            "_cs": cdna_position(F.when(fwd, F.col("cds_start")).otherwise(F.col("cds_end")), strand, exons),
+            "_cl": F.length("cds_sequence").cast("long"),
+        }
+    )
+    p = lambda c: F.when(F.col("cds_start").isNotNull(), F.col(c) - F.col("_cs") + 1)
+    # both neighbours of an insertion, or all of the span, must lie in the coding part
+    df = df.withColumns({"_p1": p("_c1"), "_p2": p("_c2")})
+    inside = (F.least("_p1", "_p2") >= 1) & (F.greatest("_p1", "_p2") <= F.col("_cl"))
+    one = (F.col("_c2") - F.col("_c1")) == (F.col("feature_end1") - F.col("feature_start1"))
+    df = df.withColumns({"cdna_start": F.col("_c1"), "cdna_end": F.col("_c2"), "cds_start_pos": F.when(inside & one, F.col("_p1")), "cds_end_pos": F.when(inside & one, F.col("_p2"))})
+    aa = lambda c: (F.floor((F.col(c) - 1) / 3) + 1).cast("long")
+    return df.withColumns({"protein_start": aa("cds_start_pos"), "protein_end": aa("cds_end_pos")}).drop("_c1", "_c2", "_cs", "_p1", "_p2")
+
+
+def delta(df: DataFrame) -> DataFrame:
+    """df of projected pairs with ref_codons, alt_codons, ref_peptide, alt_peptide and a boolean for each predicate of NONE.
+
+    The window is the whole codons that the edit meets; the edited window may run on into the 3' UTR. One or two bases that
+    are left over read X, unless a stop stands before them. Without a place in the CDS, or where the
+    reference allele isn't what the CDS holds, nothing is stated and delta is false.
+    """
+    fwd = F.col("strand") >= 0
+    own = lambda c: F.when(fwd, F.col(c)).otherwise(revcomp(F.col(c)))
+    n, m = F.length("_eref"), F.length("_ealt")
+    # equal lengths keep the uploaded alleles, others the trimmed ones
+    same = F.length("reference") == F.length("alternate")
+    df = df.withColumns({"_eref": F.when(same, F.upper(F.col("reference"))).otherwise(F.col("reference_difference")), "_ealt": F.when(same, F.upper(F.col("alternate"))).otherwise(F.col("alternate_difference"))})
+    df = df.withColumns({"_eref": own("_eref"), "_ealt": own("_ealt")})
+    first = F.col("cds_start_pos").cast("int")
+    ok = first.isNotNull() & F.col("cds_sequence").isNotNull() & (F.substr("cds_sequence", first, n) == F.col("_eref")) & F.col("_ealt").rlike("^[ACGT]*$")
+    df = df.withColumn("delta", F.coalesce(ok, F.lit(False)))
+    c0 = ((F.col("protein_start") - 1) * 3).cast("int")
+    codons = F.greatest(F.lit(0), F.col("protein_end") - F.col("protein_start") + 1).cast("int")
+    cds, post = F.col("cds_sequence"), F.coalesce("post_cds_sequence", F.lit(""))
+    edited = F.concat(F.substr(cds, F.lit(1), first - 1), F.col("_ealt"), F.substr(cds, first + n, F.length(cds)))
+    df = df.withColumns({"_new": F.when(F.col("delta"), edited), "_diff": m - n, "_c0": c0})
+    df = df.withColumns({"ref_codons": F.when(F.col("delta"), F.substr(cds, c0 + 1, codons * 3)), "_reach": F.concat("_new", post)})
+    df = df.withColumn("alt_codons", F.when(F.col("delta"), F.substr("_reach", F.col("_c0") + 1, F.greatest(F.lit(0), codons * 3 + F.col("_diff")))))
+    df = df.withColumns({"ref_peptide": translate(F.col("ref_codons"), F.col("codon_table")), "_whole": translate(F.col("alt_codons"), F.col("codon_table"))})
+    left_over = (F.length("alt_codons") % 3 != 0) & (F.col("_whole") != "*")
+    df = df.withColumn("alt_peptide", F.when(left_over, F.concat("_whole", F.lit("X"))).otherwise(F.col("_whole")))
+    rp, ap, d = F.col("ref_peptide"), F.col("alt_peptide"), F.col("_diff")
+    rs, as_ = F.instr(rp, "*"), F.instr(ap, "*")
+    level = d == 0
+    flags = F.coalesce(F.col("transcript_flags"), F.lit(0).cast("long"))
+    open_start, open_end = flags.bitwiseAND(F.lit(16).cast("long")) != 0, flags.bitwiseAND(F.lit(32).cast("long")) != 0
+    partial = (F.length(cds) % 3 != 0) & (F.col("protein_end") * 3 > F.length(cds))
+    stop_lost = (rs > 0) & (as_ == 0) & ~partial & ~open_end
+    stop_retained = (rs > 0) & (as_ > 0) & (F.when(level, rs == as_).otherwise(F.lit(True))) & ~partial
+    stop_gained = (as_ > 0) & (rs == 0) & ~partial
+    shift = (d % 3 != 0) & ~partial & ~stop_retained & ~rp.startswith("*")
+    nt_edge = F.col("ref_codons").startswith(F.col("alt_codons")) | F.col("ref_codons").endswith(F.col("alt_codons"))
+    loss = (d < 0) & (d % 3 == 0) & (nt_edge | (m == 0)) & ~partial
+    edge = ap.startswith(rp) | ap.endswith(rp)
+    at_start = (F.col("cds_start_pos") <= 3) & ~open_start
+    is_start = F.substr("_new", F.lit(1), F.lit(3)) == "ATG"
+    gain = (d > 0) & (d % 3 == 0) & edge & (F.length(ap) > F.length(rp))
+    start_lost = at_start & ~is_start & ~gain & ~loss
+    start_retained = at_start & is_start & level
+    inserted = gain & ~start_lost
+    altering = ~level & (F.length(rp) != F.length(ap)) & ~rp.startswith("*") & ~ap.startswith("*") & ~edge & ~loss & ~start_lost & ~shift & ~partial
+    plain = (F.length(rp) == F.length(ap)) & ~stop_lost & ~stop_retained & ~stop_gained & ~start_lost & ~shift & ~partial
+    missense, silent = plain & level & (rp != ap) & (F.instr(ap, "X") == 0), plain & level & (rp == ap)
+    unknown = (F.instr(ap, "X") > 0) & ~shift & ~stop_gained & ~stop_lost & ~stop_retained & ~inserted & ~loss & ~altering & ~start_lost & ~partial
+    facts = (silent, missense, stop_gained, stop_lost, stop_retained, start_lost, start_retained, shift, loss, inserted, altering, partial, unknown)
+    df = df.withColumns({name: F.col("delta") & F.coalesce(c, F.lit(False)) for name, c in zip(NONE, facts, strict=True)})
+    return df.drop("_eref", "_ealt", "_new", "_diff", "_c0", "_reach", "_whole", "_cl")

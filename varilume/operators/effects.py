@@ -1,0 +1,106 @@
+"""From facts to consequences: structural predicates, finishing rules, nonsense-mediated decay, interval features."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from varilume.functions.vocab import FLAG, has, rules
+from varilume.operators.classify import cdna_position, meets
+
+#: An edit that ends this early in the CDS, or this close to the end of the last exon but one, escapes decay.
+EARLY_CDS, PENULTIMATE = 101, 50
+
+
+def flag(name: str) -> Column:
+    return F.coalesce(F.col("transcript_flags"), F.lit(0).cast("long")).bitwiseAND(F.lit(FLAG[name]).cast("long")) != 0
+
+
+def structural(s: Column, e: Column, kind: Column, copy: Column, r: dict[str, Column]) -> dict[str, Column]:
+    """Facts of a structural event by its type (DEL, DUP, TDUP, INS, INV, CNV) and copy change (LOSS, GAIN, ..)."""
+    kind, copy = F.coalesce(kind, F.lit("")), F.coalesce(copy, F.lit(""))
+    gain, loss = (copy == "GAIN") | kind.isin("DUP", "TDUP"), (copy == "LOSS") | (kind == "DEL")
+    insertion = gain | (kind == "INS")
+    cs, ce, fwd = F.col("cds_start"), F.col("cds_end"), F.col("strand") >= 0
+    stop = F.when(fwd, meets(s, e, F.greatest(ce - 2, cs), ce)).otherwise(meets(s, e, cs, F.least(cs + 2, ce)))
+    start = F.when(fwd, meets(s, e, cs, F.least(cs + 2, ce))).otherwise(meets(s, e, F.greatest(ce - 2, cs), ce))
+    part = r["within"] & ~r["complete"]
+    in_one = F.exists("exons", lambda x: (s >= x["exon_start"]) & (e <= x["exon_end"])) & r["cds"]
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return {
+        "ablation": r["complete"] & loss, "amplification": r["complete"] & gain,
+        "elongation": r["cdna"] & r["contained"] & insertion, "truncation": r["cdna"] & part & loss,
+        "start_lost": yes(part & r["coding"] & ~flag("cds_start_nf") & r["exon"] & start), "stop_lost": yes(part & loss & r["cds"] & stop),
+        "frameshift": yes(part & loss & in_one & ((e - s + 1) % 3 != 0)),
+        "inframe_deletion": yes(part & loss & in_one & ((e - s + 1) % 3 == 0) & (s >= cs) & (e <= ce)),
+    }
+
+
+def consequence_mask(r: dict[str, Column], w: dict[str, Column], d: dict[str, Column] | None, sv: dict[str, Column] | None, deletion: Column) -> Column:
+    """Terms of a pair: r, w from the regions and splice windows, d the coding predicates, sv the structural ones."""
+    no = F.lit(False)
+    d = d or {}
+    sv = sv or {}
+    open_ = ~r["complete"] if sv else F.lit(True)
+    noncoding_exon = ~r["coding"] & r["exon"] & ~r["complete"]
+    in_frame = sv.get("frameshift", no) | sv.get("inframe_deletion", no)
+    unknown = ~r["complete"] & (d.get("coding_unknown", no) | (r["cds"] & ~d.get("delta", no) & ~in_frame))
+    small = F.lit(not sv)
+    nmd = r["within"] & flag("nmd")
+    return rules(
+        {
+            "transcript_ablation": sv.get("ablation", r["complete"] & deletion), "transcript_amplification": sv.get("amplification", no),
+            "splice_acceptor_variant": small & w["acceptor"], "splice_donor_variant": small & w["donor"],
+            "stop_gained": d.get("stop_gained", no), "frameshift_variant": d.get("frameshift", sv.get("frameshift", no)),
+            "stop_lost": d.get("stop_lost", sv.get("stop_lost", no)), "start_lost": d.get("start_lost", sv.get("start_lost", no)),
+            "feature_elongation": sv.get("elongation", no), "feature_truncation": sv.get("truncation", no),
+            "inframe_insertion": d.get("inframe_insertion", no), "inframe_deletion": d.get("inframe_deletion", sv.get("inframe_deletion", no)),
+            "missense_variant": d.get("missense", no), "protein_altering_variant": d.get("protein_altering", no),
+            "splice_donor_5th_base_variant": small & w["fifth"], "splice_region_variant": small & w["region"],
+            "splice_donor_region_variant": small & w["donor_region"], "splice_polypyrimidine_tract_variant": w["ppt"] & ~r["exon"] & open_,
+            "incomplete_terminal_codon_variant": d.get("partial_codon", no), "start_retained_variant": d.get("start_retained", no),
+            "stop_retained_variant": d.get("stop_retained", no), "synonymous_variant": d.get("synonymous", no),
+            "coding_sequence_variant": unknown, "5_prime_UTR_variant": r["utr5"] & open_, "3_prime_UTR_variant": r["utr3"] & open_,
+            "non_coding_transcript_exon_variant": noncoding_exon, "intron_variant": w["intronic"] & open_,
+            "NMD_transcript_variant": nmd, "non_coding_transcript_variant": ~r["coding"] & r["within"] & ~noncoding_exon,
+            "coding_transcript_variant": r["complete"] & r["coding"] & flag("protein_coding") & ~nmd,
+            "upstream_gene_variant": r["upstream"], "downstream_gene_variant": r["downstream"],
+        }
+    )
+
+
+def nmd(mask: Column, end: Column, cds_end: Column) -> tuple[Column, Column]:
+    """(prediction, escape bits): null unless a term of truncation holds; bits 1 intronless, 2 early CDS, 4 last exon, 8 its neighbour.
+
+    end: the feature's last base; cds_end: its place in the CDS, without which there is no prediction.
+    """
+    fwd, n = F.col("strand") >= 0, F.size("exons")
+    # the last exon in transcript order stands last on the plus strand and first on the minus strand
+    last, before = F.when(fwd, F.get("exons", n - 1)).otherwise(F.get("exons", F.lit(0))), F.when(fwd, F.get("exons", n - 2)).otherwise(F.get("exons", F.lit(1)))
+    near = F.when(fwd, end.between(before["exon_end"] - PENULTIMATE, before["exon_end"])).otherwise(end.between(before["exon_start"], before["exon_start"] + PENULTIMATE))
+    bit = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0)
+    bits = bit(n == 1, 1) + bit(cds_end <= EARLY_CDS, 2) + bit(end.between(last["exon_start"], last["exon_end"]), 4) + bit((n > 1) & near, 8)
+    eligible = has(mask, "stop_gained", "frameshift_variant", "splice_donor_variant", "splice_acceptor_variant")
+    known = F.col("cds_start").isNotNull() & cds_end.isNotNull()
+    return F.when(eligible, F.when(~known, "unresolved").when(bits > 0, "escaping").otherwise("triggering")), F.when(eligible & known, bits)
+
+
+def feature_mask(s: Column, e: Column, a: Column, b: Column, kind: Column, deletion: Column, gain: Column) -> Column:
+    """Terms of a regulatory region (kind 1) or motif (kind 2) of span a..b."""
+    within, complete, motif = meets(s, e, a, b), (s <= a) & (e >= b), kind == 2
+    return rules(
+        {
+            "TFBS_ablation": motif & complete & deletion, "TFBS_amplification": motif & complete & gain, "TF_binding_site_variant": motif & within,
+            "regulatory_region_ablation": ~motif & complete & deletion, "regulatory_region_amplification": ~motif & complete & gain, "regulatory_region_variant": ~motif & within,
+        }
+    )
+
+
+def exon_rank(end: Column) -> Column:
+    """Rank of the exon that holds the position, in transcript order."""
+    at = F.array_position(F.transform("exons", lambda x: end.between(x["exon_start"], x["exon_end"])), True)
+    return F.when(at > 0, F.when(F.col("strand") >= 0, at).otherwise(F.size("exons") - at + 1))
+
+
+def first_cds_place(exons: Column) -> Column:
+    return cdna_position(F.when(F.col("strand") >= 0, F.col("cds_start")).otherwise(F.col("cds_end")), F.col("strand"), exons)

@@ -1,0 +1,26 @@
+"""Session helpers: a session with the engine's settings, and a cut of lineage that survives lost executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def session(app: str = "varilume", **conf: str) -> SparkSession:
+    """A session with adaptive execution on, as the plans expect it."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    for k, v in conf.items():
+        builder = builder.config(k.replace("__", "."), v)
+    return builder.getOrCreate()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df from the shared checkpoint folder; in local mode without one, from a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        path = sc.getConf().get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
