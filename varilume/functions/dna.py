@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from varilume.functions.vocab import GENETIC_CODES
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once and named: keeps plans small where a value is used many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(s: Column) -> Column:
     """Upper case, U as T."""
     return F.translate(F.upper(s), "U", "T")
@@ -38,7 +43,8 @@ def translate(cds: Column, table: Column) -> Column:
     n = F.floor(F.length(cds) / 3).cast("int")
     codons = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     # the table is looked up once, not for each codon
-    return F.get(F.transform(F.array(_code(table)), lambda t: F.array_join(F.transform(codons, lambda i: _residue_in(F.substr(cds, i * 3 + 1, F.lit(3)), t)), "")), F.lit(0))
+    read = F.get(F.transform(F.array(_code(table)), lambda t: F.array_join(F.transform(codons, lambda i: _residue_in(F.substr(cds, i * 3 + 1, F.lit(3)), t)), "")), F.lit(0))
+    return F.when(cds.isNotNull(), read)
 
 
 def _residue_in(codon: Column, code: Column) -> Column:

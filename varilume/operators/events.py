@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varilume.functions.dna import let
+
 GEOMETRY = (
     "variant_kind string, start1 bigint, end1 bigint, feature_start1 bigint, feature_end1 bigint, edit_start0 bigint, edit_end0 bigint, "
     "prefix_length int, suffix_length int, reference_difference string, alternate_difference string, anchor string, length_difference int, boundary0 bigint"
@@ -29,27 +31,30 @@ def allele_geometry(df: DataFrame, position: str = "position", reference: str =
     """
     ref, alt, pos = F.upper(F.col(reference)), F.upper(F.col(alternate)), F.col(position).cast("long")
     bad = ~ref.rlike("^[ACGTN]+$") | ~alt.rlike("^[ACGTN]+$") | (ref == alt) | (F.length(ref) > LONGEST) | (F.length(alt) > LONGEST)
-    df = df.withColumns({"_ref": F.when(bad, F.raise_error(F.lit("allele_geometry: alleles must differ and hold 1 to 65535 of ACGTN"))).otherwise(ref), "_alt": alt})
-    df = df.withColumn("prefix_length", common_prefix(F.col("_ref"), F.col("_alt")))
-    p = F.col("prefix_length")
-    df = df.withColumns({"_r": F.substr("_ref", p + 1, F.length("_ref")), "_a": F.substr("_alt", p + 1, F.length("_alt"))})
-    df = df.withColumn("suffix_length", common_prefix(F.reverse("_r"), F.reverse("_a")))
-    s = F.col("suffix_length")
-    df = df.withColumns({"reference_difference": F.substr("_r", F.lit(1), F.length("_r") - s), "alternate_difference": F.substr("_a", F.lit(1), F.length("_a") - s)})
-    rd, ad = F.length("reference_difference"), F.length("alternate_difference")
-    n, m = F.length("_ref"), F.length("_alt")
-    kind = F.when(rd == 0, "insertion").when(ad == 0, "deletion").when((rd == ad) & (rd == 1), "snv").when(rd == ad, "mnv").otherwise("indel")
-    end = pos + n - 1
-    df = df.withColumns(
-        {
-            "variant_kind": kind, "start1": pos, "end1": end, "length_difference": m - n,
-            "feature_start1": F.when(n == m, pos).otherwise(pos + p), "feature_end1": F.when(n == m, end).otherwise(end - s),
-            "edit_start0": pos - 1 + p, "edit_end0": pos - 1 + p + rd,
-            "boundary0": F.when(rd == 0, pos - 1 + p),
-            "anchor": F.when(rd == 0, F.when(p > 0, "left").otherwise("right")),
-        }
-    )
-    return df.drop("_ref", "_alt", "_r", "_a")
+    ref = F.when(bad, F.raise_error(F.lit("allele_geometry: alleles must differ and hold 1 to 65535 of ACGTN"))).otherwise(ref)
+
+    def trimmed(x: Column) -> Column:
+        """Alleles without their common prefix, then without the common suffix of the rest."""
+        rest = F.struct(x["pos"].alias("pos"), F.length(x["r"]).alias("n"), F.length(x["a"]).alias("m"), x["p"].alias("p"), F.substr(x["r"], x["p"] + 1, F.length(x["r"])).alias("r"), F.substr(x["a"], x["p"] + 1, F.length(x["a"])).alias("a"))
+        return let(rest, lambda y: let(F.struct(y["pos"].alias("pos"), y["n"].alias("n"), y["m"].alias("m"), y["p"].alias("p"), y["r"].alias("r"), y["a"].alias("a"), common_prefix(F.reverse(y["r"]), F.reverse(y["a"])).alias("s")), described))
+
+    def described(x: Column) -> Column:
+        rd, ad = F.length(x["r"]) - x["s"], F.length(x["a"]) - x["s"]
+        start, end = x["pos"], x["pos"] + x["n"] - 1
+        same, insertion = x["n"] == x["m"], rd == 0
+        kind = F.when(insertion, "insertion").when(ad == 0, "deletion").when((rd == ad) & (rd == 1), "snv").when(rd == ad, "mnv").otherwise("indel")
+        fields = {
+            "variant_kind": kind, "start1": start, "end1": end,
+            "feature_start1": F.when(same, start).otherwise(start + x["p"]), "feature_end1": F.when(same, end).otherwise(end - x["s"]),
+            "edit_start0": start - 1 + x["p"], "edit_end0": start - 1 + x["p"] + rd, "prefix_length": x["p"], "suffix_length": x["s"],
+            "reference_difference": F.substr(x["r"], F.lit(1), rd), "alternate_difference": F.substr(x["a"], F.lit(1), ad),
+            "anchor": F.when(insertion, F.when(x["p"] > 0, "left").otherwise("right")), "length_difference": x["m"] - x["n"], "boundary0": F.when(insertion, start - 1 + x["p"]),
+        }
+        return F.struct(*(c.alias(k) for k, c in fields.items()))
+
+    alleles = F.struct(pos.alias("pos"), ref.alias("r"), alt.alias("a"))
+    geometry = let(alleles, lambda x: let(F.struct(x["pos"].alias("pos"), x["r"].alias("r"), x["a"].alias("a"), common_prefix(x["r"], x["a"]).alias("p")), trimmed))
+    return df.withColumn("_g", geometry).select(*df.columns, "_g.*")
 
 
 def breakend_geometry(alt: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a bin: about the length of a usual transcript with its flanks.
-BIN = 16_384
+#: Width of a bin, in bases.
+BIN = 2048
 #: Rows that span more bins are joined on coarser bins, so no row is copied more often than this.
 MOST_BINS = 64
 
@@ -30,14 +30,16 @@ def overlap_join(left: DataFrame, right: DataFrame, region: str, left_span: tupl
     lefts = left.withColumns({"_ls": ls, "_le": le}).withColumn("_lv", _levels(F.col("_ls"), F.col("_le"), width))
     rights = right.withColumns({"_rs": rs, "_re": re_}).withColumn("_rv", _levels(F.col("_rs"), F.col("_re"), width))
     size = lambda level: F.lit(width).cast("long") * F.pow(F.lit(64), level).cast("long")
-    # a pair meets at the coarser of its two levels
-    at = lambda own: F.explode(F.sequence(own, F.lit(3)))
-    lefts = lefts.withColumn("_lvl", at(F.col("_lv"))).withColumn("_w", size(F.col("_lvl")))
+    # a pair meets at the coarser of its two levels, where at least one of them is at home: tag 0 pairs a left one
+    # that is with any right one, tag 1 a left one that isn't with a right one that is
+    up = lambda own: F.explode(F.sequence(own, F.lit(3)))
+    lefts = lefts.withColumn("_lvl", up(F.col("_lv"))).withColumns({"_w": size(F.col("_lvl")), "_tag": (F.col("_lvl") != F.col("_lv")).cast("int")})
     lefts = lefts.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_ls") / F.col("_w")), F.floor(F.col("_le") / F.col("_w")))))
-    rights = rights.withColumn("_rlvl", at(F.col("_rv"))).withColumn("_rw", size(F.col("_rlvl")))
+    rights = rights.withColumn("_rlvl", up(F.col("_rv"))).withColumn("_rw", size(F.col("_rlvl")))
+    rights = rights.withColumn("_rtag", F.explode(F.when(F.col("_rlvl") == F.col("_rv"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     rights = rights.withColumn("_rbin", F.explode(F.sequence(F.floor(F.col("_rs") / F.col("_rw")), F.floor(F.col("_re") / F.col("_rw"))))).withColumnRenamed(region, "_region")
     first = F.floor(F.greatest(F.col("_ls"), F.col("_rs")) / F.col("_w"))
-    on = (F.col(region) == F.col("_region")) & (F.col("_lvl") == F.col("_rlvl")) & (F.col("_bin") == F.col("_rbin")) & (F.col("_lvl") == F.greatest("_lv", "_rv")) & (F.col("_bin") == first) & (F.col("_rs") <= F.col("_le")) & (F.col("_re") >= F.col("_ls"))
+    on = (F.col(region) == F.col("_region")) & (F.col("_lvl") == F.col("_rlvl")) & (F.col("_tag") == F.col("_rtag")) & (F.col("_bin") == F.col("_rbin")) & (F.col("_bin") == first) & (F.col("_rs") <= F.col("_le")) & (F.col("_re") >= F.col("_ls"))
     out = lefts.join(rights, on)
     return out.select(*left.columns, *(c for c in right.columns if c != region))
 
