@@ -70,11 +70,12 @@ STRUCTURAL = """event_id AS event_index, cast(event_id % 5 + (event_id - event_i
 
 
 def _split(columns: str) -> list[str]:
-    """The top-level comma-separated parts."""
-    out, depth, part = [], 0, ""
+    """The top-level comma-separated parts, text in quotes kept whole."""
+    out, depth, part, quoted = [], 0, "", False
     for ch in columns:
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and not depth:
+        quoted ^= ch == "'"
+        depth += 0 if quoted else (ch == "(") - (ch == ")")
+        if ch == "," and not depth and not quoted:
             out.append(part)
             part = ""
         else:

@@ -81,7 +81,7 @@ ORACLES = {
  SELECT event_index, CASE f WHEN 0 THEN 'A' WHEN 1 THEN 'GT' WHEN 2 THEN 'AC' WHEN 3 THEN 'TTG' WHEN 5 THEN 'C' END AS inserted, CASE WHEN f IN (0, 1) THEN 'chr' || user_id WHEN f = 5 THEN 'HLA:' || user_id END AS mate_chrom,
  CASE WHEN f IN (0, 1, 5) THEN event_id + 1 END AS mate_position, CASE WHEN f IN (0, 2, 5) THEN false WHEN f IN (1, 3) THEN true END AS local_left, CASE WHEN f = 0 THEN false WHEN f IN (1, 5) THEN true END AS mate_left FROM a""",
     "vcf_events": f"""WITH r AS (SELECT {RECORD} FROM events), a AS (SELECT *, unnest(CASE WHEN TWO THEN [1, 2] ELSE [1] END) AS k FROM r),
- b AS (SELECT *, CASE WHEN k = 1 THEN A1 ELSE 'T' END AS alt, NOT (A1 = 'G') AND (INFO_SVTYPE IS NOT NULL OR A1 <> '<CN0>' OR true) AS st, CASE WHEN regexp_full_match(INFO_END, '[0-9]+') THEN CAST(INFO_END AS BIGINT) END AS e, CAST(INFO_SVLEN AS BIGINT) AS l,
+ b AS (SELECT *, CASE WHEN k = 1 THEN A1 ELSE 'T' END AS alt, A1 <> 'G' AND (INFO_SVTYPE IS NOT NULL OR NOT (A1 = 'A.' AND TWO)) AS st, CASE WHEN regexp_full_match(INFO_END, '[0-9]+') THEN CAST(INFO_END AS BIGINT) END AS e, CAST(INFO_SVLEN AS BIGINT) AS l,
    CASE WHEN CAST(substring(CHROM, 4) AS INT) < 5 THEN CAST(substring(CHROM, 4) AS INT) END AS region FROM a),
  c AS (SELECT *, CASE WHEN A1 LIKE 'A[chr%' THEN 'bnd' WHEN A1 = 'A.' THEN 'one' END AS bk, coalesce(POS + abs(l), e, POS + 1) AS ve,
    CASE alt WHEN '<DEL>' THEN 'DEL' WHEN '<DUP:TANDEM>' THEN 'TDUP' WHEN '<INS:ME:ALU>' THEN 'INS' WHEN '<INV>' THEN 'INV' WHEN '<CN0>' THEN 'unsupported_symbolic_allele' WHEN '<BND>' THEN 'DUP' END AS ty FROM b),
