@@ -7,7 +7,7 @@ import tempfile
 import numpy as np
 
 #: Bytes of queued tuples kept in memory; what is more goes to files of the task, gone when it ends.
-MEMORY = 256 << 20
+MEMORY = 64 << 20
 _PAIR = np.dtype([("at", np.int32), ("lcp", np.int32)])
 
 

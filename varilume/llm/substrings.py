@@ -25,7 +25,10 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) ^ np.random.default_rng(51).integers(0, 2**63, 256, dtype=np.uint64)
 RUN = np.dtype([("high", "<u4"), ("low", "<u2"), ("whole", "<u4"), ("doc", "<u2"), ("start", "<u4"), ("n", "<u4")])
 SPAN = np.dtype([("key", "<i8"), ("start", "<u4"), ("n", "<u4")])
-ASK = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("start", "<u4"), ("n", "<u4"), ("shard", "<u4")])
+ASK = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("value", "<u8"), ("start", "<u4"), ("n", "<u4"), ("shard", "<u4")])
+ALIAS = np.dtype([("key", "<i8"), ("first", "<u4"), ("start", "<u4"), ("n", "<u4")])
+#: Bytes of runs sorted at once; runs of one hash stay together.
+SORT_BYTES = 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -149,8 +152,8 @@ def _by_bucket(records: np.ndarray, buckets: int) -> tuple[list[int], list[bytes
 
 
 def _compare(dealt: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, kind, blob): kind 0 are spans of windows that repeat, kind 1 asks for the bytes of runs that differ
-    from others of their hash, those of the least doc_id for each distinct run."""
+    """(bucket, kind, blob): kind 0 are spans of windows that repeat, kind 1 asks for the bytes of runs that differ from
+    others of their hash, once for each distinct run of the least doc_id, kind 2 says where a text repeats such a run."""
 
     def f(key, group):
         cols = {c: [] for c in ("value", "whole", "key", "doc_id", "start", "n")}
@@ -168,7 +171,7 @@ def _compare(dealt: DataFrame, buckets: int) -> DataFrame:
             cols["start"].append(r["start"])
             cols["n"].append(r["n"])
         r = {c: np.concatenate(v) for c, v in cols.items()}
-        order = np.lexsort((r["doc_id"], r["whole"], r["value"]))
+        order = np.lexsort((r["start"], r["key"], r["doc_id"], r["whole"], r["value"]))
         r = {c: v[order] for c, v in r.items()}
         top = np.ones(len(order), bool)
         top[1:] = r["value"][1:] != r["value"][:-1]
@@ -184,14 +187,21 @@ def _compare(dealt: DataFrame, buckets: int) -> DataFrame:
         which = np.cumsum(top) - 1
         several = np.bincount(which[at])[which] > 1
         lo, hi = np.minimum.reduceat(r["doc_id"], np.flatnonzero(top)), np.maximum.reduceat(r["doc_id"], np.flatnonzero(top))
-        ask = ~again & several & (lo < hi)[which]
-        asks = np.zeros(int(ask.sum()), ASK)
-        for c in ("key", "doc_id", "start", "n"):
-            asks[c] = r[c][ask]
+        open_ = ~again & several & (lo < hi)[which]
+        own = lead.copy()
+        own[1:] |= r["key"][1:] != r["key"][:-1]
+        asks = np.zeros(int((open_ & own).sum()), ASK)
+        for c in ("key", "doc_id", "value", "start", "n"):
+            asks[c] = r[c][open_ & own]
         asks["shard"] = key[0].as_py()
+        aliases = np.zeros(int((open_ & ~own).sum()), ALIAS)
+        for c in ("key", "start", "n"):
+            aliases[c] = r[c][open_ & ~own]
+        aliases["first"] = r["start"][np.flatnonzero(own)][np.cumsum(own) - 1][open_ & ~own]
         b0, v0 = _by_bucket(np.concatenate([*spans, out]), buckets)
         b1, v1 = _by_bucket(asks, buckets)
-        return pa.table({"bucket": pa.array(b0 + b1, pa.int64()), "kind": pa.array([0] * len(b0) + [1] * len(b1), pa.int32()), "blob": pa.array(v0 + v1, pa.binary())})
+        b2, v2 = _by_bucket(aliases, buckets)
+        return pa.table({"bucket": pa.array(b0 + b1 + b2, pa.int64()), "kind": pa.array([0] * len(b0) + [1] * len(b1) + [2] * len(b2), pa.int32()), "blob": pa.array(v0 + v1 + v2, pa.binary())})
 
     return dealt.groupBy("shard").applyInArrow(f, "bucket long, kind int, blob binary")
 
@@ -216,43 +226,80 @@ def _fetch(texts: DataFrame, asks: DataFrame) -> DataFrame:
     return texts.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(f, "shard long, asks binary, bytes binary")
 
 
+def _gone(asks: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Spans of the strings' windows that one of a smaller doc_id holds too."""
+    string, start, which = induced.repeats(strings, LENGTH)
+    if not len(string):
+        return np.zeros(0, SPAN)
+    ids = asks["doc_id"][string]
+    _, which = np.unique(which, return_inverse=True)
+    least = np.full(which.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, ids)
+    gone = ids > least[which]
+    string, start = string[gone], start[gone]
+    order = np.lexsort((start, string))
+    string, start = string[order], start[order]
+    new = np.ones(len(string), bool)
+    new[1:] = (string[1:] != string[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    out = np.zeros(len(first), SPAN)
+    out["key"], out["start"] = asks["key"][string[first]], asks["start"][string[first]] + start[first]
+    out["n"] = np.diff(np.append(first, len(string)))
+    return out
+
+
 def _sort(fetched: DataFrame, buckets: int) -> DataFrame:
     """(bucket, blob): windows that a smaller doc_id of the shard holds too, by the shard's suffix array."""
 
     def f(key, group):
         asks = np.concatenate([np.frombuffer(b, ASK) for b in group.column("asks").to_pylist()])
-        strings, joined, pos = [], b"".join(group.column("bytes").to_pylist()), 0
-        for n in asks["n"].tolist():
-            strings.append(joined[pos : pos + n + LENGTH - 1])
-            pos += n + LENGTH - 1
-        string, start, which = induced.repeats(strings, LENGTH)
-        out = np.zeros(0, SPAN)
-        if len(string):
-            ids = asks["doc_id"][string]
-            _, which = np.unique(which, return_inverse=True)
-            least = np.full(which.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, which, ids)
-            gone = ids > least[which]
-            string, start = string[gone], start[gone]
-            order = np.lexsort((start, string))
-            string, start = string[order], start[order]
-            new = np.ones(len(string), bool)
-            new[1:] = (string[1:] != string[:-1]) | (start[1:] != start[:-1] + 1)
-            first = np.flatnonzero(new)
-            out = np.zeros(len(first), SPAN)
-            out["key"], out["start"] = asks["key"][string[first]], asks["start"][string[first]] + start[first]
-            out["n"] = np.diff(np.append(first, len(string)))
+        size = asks["n"].astype(np.int64) + LENGTH - 1
+        begin = np.cumsum(size) - size
+        joined = b"".join(group.column("bytes").to_pylist())
+        order = np.argsort(asks["value"], kind="stable")
+        value, reach = asks["value"][order], np.cumsum(size[order])
+        parts, done = [], 0
+        while done < len(order):
+            # as many hashes as fit, one at least
+            top = np.searchsorted(reach, (reach[done - 1] if done else 0) + SORT_BYTES, side="right")
+            stop = np.searchsorted(value, value[min(top, len(order) - 1)]) if top < len(order) else len(order)
+            if stop <= done:
+                stop = np.searchsorted(value, value[done], side="right")
+            use = order[done:stop]
+            parts.append(_gone(asks[use], [joined[a:b] for a, b in zip(begin[use].tolist(), (begin[use] + size[use]).tolist(), strict=True)]))
+            done = stop
+        out = np.concatenate([np.zeros(0, SPAN), *parts])
         b, v = _by_bucket(out, buckets)
         return pa.table({"bucket": pa.array(b, pa.int64()), "blob": pa.array(v, pa.binary())})
 
     return fetched.groupBy("shard").applyInArrow(f, "bucket long, blob binary")
 
 
+def _repeated(spans: np.ndarray, aliases: np.ndarray) -> np.ndarray:
+    """spans, and those within a run once more wherever its text repeats the run."""
+    if not len(aliases) or not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["start"], spans["key"]))]
+    # one sorted line of places: texts are numbered, each with room for its largest offset
+    keys, number = np.unique(np.concatenate((spans["key"], aliases["key"])), return_inverse=True)
+    room = np.int64(1) << 33
+    at = number[: len(spans)] * room + spans["start"]
+    begin = number[len(spans) :] * room + aliases["first"]
+    lo, hi = np.searchsorted(at, begin), np.searchsorted(at, begin + aliases["n"])
+    which = np.repeat(np.arange(len(aliases)), hi - lo)
+    took = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+    more = spans[took].copy()
+    more["start"] = spans["start"][took].astype(np.int64) - aliases["first"][which] + aliases["start"][which]
+    return np.concatenate((spans, more))
+
+
 def _result(texts: DataFrame, spans: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def f(key, left, right):
-        spans = np.concatenate([np.zeros(0, SPAN), *(np.frombuffer(b, SPAN) for b in right.column("blob").to_pylist())])
+        blobs = list(zip(right.column("kind").to_pylist(), right.column("blob").to_pylist(), strict=True))
+        spans = np.concatenate([np.zeros(0, SPAN), *(np.frombuffer(b, SPAN) for k, b in blobs if k == 0)])
+        spans = _repeated(spans, np.concatenate([np.zeros(0, ALIAS), *(np.frombuffer(b, ALIAS) for k, b in blobs if k == 2)]))
         spans = spans[np.lexsort((spans["start"], spans["key"]))]
         keys, begin = np.unique(spans["key"], return_index=True)
         found = dict(zip(keys.tolist(), np.split(spans, begin[1:]) if len(keys) else [], strict=True))
@@ -292,7 +339,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     asks = compared.filter("kind = 1").select("bucket", "blob")
     sorted_ = cut(_sort(_fetch(texts.drop("doc_id"), asks), parts))
     docs.sparkSession.sparkContext._jvm.System.gc()
-    return _result(texts, compared.filter("kind = 0").select("bucket", "blob").unionByName(sorted_))
+    return _result(texts, compared.filter("kind != 1").unionByName(sorted_.withColumn("kind", F.lit(0))))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
