@@ -158,7 +158,8 @@ def slots(spark: SparkSession, sources: list[Source], per: int = SHARD_SLOTS) ->
                 order = np.random.default_rng([SEED, 1, shard]).permutation(len(no))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(no), shard)), pa.array(np.arange(len(no))), pa.array(no[order].astype(np.int64)), pa.array(block[order]), pa.array(words[order])], ["shard", "slot", "source_no", "block", "words"])
 
-    return spark.range(0, k, 1, max(1, min(k, 2 * spark.sparkContext.defaultParallelism, -(-k // 4)))).mapInArrow(run, "shard long, slot long, source_no long, block long, words long")
+    # Spark takes these rows for as few as the shards; the hint keeps it from broadcasting them
+    return spark.range(0, k, 1, max(1, min(k, 2 * spark.sparkContext.defaultParallelism, -(-k // 4)))).mapInArrow(run, "shard long, slot long, source_no long, block long, words long").hint("merge")
 
 
 @dataclass(frozen=True)
@@ -220,7 +221,8 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     mix = plan(docs, block, with_text=False)
     got = mix.pieces.join(mix.slots.select(F.col("source_no").alias("s"), F.col("block").alias("b"), "words"), (F.col("source_no") == F.col("s")) & (F.col("block") == F.col("b")), "left")
-    n = F.greatest(F.lit(0), F.least("hi", F.col("block") * block + F.col("words")) - F.col("lo"))
+    # least() passes over nulls, so a block without a slot needs saying
+    n = F.when(F.col("words").isNotNull(), F.greatest(F.lit(0), F.least("hi", F.col("block") * block + F.col("words")) - F.col("lo")))
     return got.groupBy("doc_id", "source", "start", "size", "source_size", "target").agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
