@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -60,6 +61,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files behind a cut: they stay while Python or the driver hold garbage that refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from reliable storage: its lineage ends there, and a lost executor costs nothing upstream."""
     shared_dir(df.sparkSession)

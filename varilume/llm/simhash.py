@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
 
 
 def links(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
-    """(a, b), a != b: points (rep, f0..) whose fingerprints differ by radius bits at most.
+    """(a, b), labels of points (rep, label, f0..) of different labels whose fingerprints differ by radius bits at most.
 
     Each fingerprint is cut into segments of width bits. A point enters the table under each segment's
     value and probes it with the Hamming ball of radius 1 around that value; a flip from 0 to 1 suffices,
@@ -76,29 +76,36 @@ def links(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
     """
     per = 64 // width
     segments = [(lane, s * width) for lane in range(lanes) for s in range(per)]
-    mask = (1 << width) - 1
     names = [f"f{i}" for i in range(lanes)]
-
-    def value(prefix: str, lane: int, shift: int) -> Column:
-        return F.shiftrightunsigned(F.col(f"{prefix}f{lane}"), shift).bitwiseAND(F.lit(mask).cast("long"))
-
-    def key(i: int, v: Column) -> Column:
-        return v.bitwiseOR(F.lit(i << width).cast("long"))
-
-    own = points.select("rep", *names, F.explode(F.array(*(F.struct(F.lit(i).alias("s"), value("", lane, sh).alias("v")) for i, (lane, sh) in enumerate(segments)))).alias("x")).select("rep", *names, F.col("x.s").alias("s"), F.col("x.v").alias("v"))
-    tab = own.select(F.expr(f"v | shiftleft(cast(s as bigint), {width})").alias("key"), F.col("rep").alias("b"), *(F.col(n).alias(f"b{n}") for n in names))
+    own = points.select("rep", "label", *names, F.explode(F.array(*(F.struct(F.lit(i).alias("s"), _value("", lane, sh, width).alias("v")) for i, (lane, sh) in enumerate(segments)))).alias("x")).select("rep", "label", *names, F.col("x.s").alias("s"), F.col("x.v").alias("v"))
+    key = f"shiftleft(cast(s as bigint), {width})"
+    tab = own.select(F.expr(f"v | {key}").alias("key"), F.col("rep").alias("b"), F.col("label").alias("lb"), *(F.col(n).alias(f"b{n}") for n in names))
     flips = F.expr(f"filter(transform(sequence(0, {width - 1}), i -> v | shiftleft(1L, i)), x -> x != v)")
-    probe = own.select("s", "v", F.explode(F.concat(F.array("v"), flips)).alias("p"), F.col("rep").alias("a"), *(F.col(n).alias(f"a{n}") for n in names))
-    probe = probe.select(F.expr(f"p | shiftleft(cast(s as bigint), {width})").alias("key"), (F.col("p") == F.col("v")).alias("exact"), "a", *(f"a{n}" for n in names))
-    away = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names))
-    segment = F.shiftright(F.col("key"), width)
+    probe = own.select("s", "v", F.explode(F.concat(F.array("v"), flips)).alias("p"), F.col("rep").alias("a"), F.col("label").alias("la"), *(F.col(n).alias(f"a{n}") for n in names))
+    probe = probe.select(F.expr(f"p | {key}").alias("key"), (F.col("p") == F.col("v")).alias("exact"), "a", "la", *(f"a{n}" for n in names))
 
     def nearby(lane: int, shift: int) -> Column:
-        return F.bit_count(value("a", lane, shift).bitwiseXOR(value("b", lane, shift))) <= 1
+        return F.bit_count(_value("a", lane, shift, width).bitwiseXOR(_value("b", lane, shift, width))) <= 1
 
     first = reduce(lambda rest, i: F.when(nearby(*segments[i]), F.lit(i)).otherwise(rest), reversed(range(len(segments))), F.lit(-1))
-    pairs = probe.hint("merge").join(tab, (probe["key"] == tab["key"]) & (~F.col("exact") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")) & (away <= radius) & (first == F.shiftright(tab["key"], width)))
-    return pairs.select("a", "b")
+    on = (probe["key"] == tab["key"]) & (~F.col("exact") | (F.col("a") < F.col("b"))) & (F.col("la") != F.col("lb")) & (_away(names) <= radius) & (first == F.shiftright(tab["key"], width))
+    return probe.hint("merge").join(tab, on).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+
+
+def _value(prefix: str, lane: int, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(F.col(f"{prefix}f{lane}"), shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _away(names: list[str]) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names))
+
+
+def first_links(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
+    """(a, b): those links alone whose fingerprints share the first segment's value, a small part of a large group's."""
+    names = [f"f{i}" for i in range(lanes)]
+    side = lambda p: points.select(_value("", 0, 0, width).alias("key"), F.col("rep").alias(p), *(F.col(n).alias(f"{p}{n}") for n in names))
+    a, b = side("a"), side("b")
+    return a.hint("merge").join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (_away(names) <= radius)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 3, width: int = 16, radius: int = 27) -> DataFrame:
@@ -106,14 +113,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 3, width: int
 
     The default takes 5-word shingles and 192 bits; 27 differing bits stand for a Jaccard likeness of
     0.82, so that what is linked has 0.8 or more but for the sketch's error. Equal fingerprints meet in one
-    point, so copies cost no pairs. Null and empty texts have fingerprint 0 and are linked
-    like any other; of repeated doc_ids each row is returned; no documents give no rows.
+    point, so copies cost no pairs. A large group of near copies is first joined by the few links of one segment; the
+    search over all segments then leaves out pairs that are joined already, which changes no component.
+    Null and empty texts have fingerprint 0 and are linked like any other; of repeated doc_ids each row is
+    returned; no documents give no rows.
     """
     names = [f"f{i}" for i in range(lanes)]
     marks = cut(fingerprints(docs, words, lanes))
     points = cut(marks.groupBy(*names).agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
+    early = components(first_links(points, lanes, width, radius), "a", "b")
+    points = cut(points.join(early, points["rep"] == early["node"], "left").select("rep", *names, F.coalesce("component", "rep").alias("label")))
     comp = components(links(points, lanes, width, radius), "a", "b")
-    named = points.join(comp, points["rep"] == comp["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    named = points.join(comp, points["label"] == comp["node"], "left").select(*names, F.coalesce("component", "label").alias("component_id"))
     return marks.join(named, names, "left").select("doc_id", *names, "component_id")
 
 

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varilume.llm import induced
-from varilume.llm.common import cut, documents, map_batches, raw, table
+from varilume.llm.common import cut, documents, map_batches, raw, release, table
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text that one shard stands for, and bytes hashed at once.
-SHARD_BYTES, CHUNK = 8 << 20, 1 << 20
+SHARD_BYTES, CHUNK = 3 << 20, 1 << 19
 _M = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) ^ np.random.default_rng(51).integers(0, 2**63, 256, dtype=np.uint64)
 RUN = np.dtype([("high", "<u4"), ("low", "<u2"), ("whole", "<u4"), ("doc", "<u2"), ("start", "<u4"), ("n", "<u4")])
@@ -170,7 +170,7 @@ def _compare(dealt: DataFrame, buckets: int) -> DataFrame:
             cols["doc_id"].append(ids[r["doc"]])
             cols["start"].append(r["start"])
             cols["n"].append(r["n"])
-        r = {c: np.concatenate(v) for c, v in cols.items()}
+        r = {c: np.concatenate(cols.pop(c)) for c in list(cols)}
         order = np.lexsort((r["start"], r["key"], r["doc_id"], r["whole"], r["value"]))
         r = {c: v[order] for c, v in r.items()}
         top = np.ones(len(order), bool)
@@ -334,11 +334,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(4, -(-total // SHARD_BYTES))
     compared = cut(_compare(_deal(keyed, parts), parts))
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle behind the cut
+    release(docs.sparkSession)
     texts = base.select(key.alias("key"), "doc_id", "text").withColumn("bucket", F.col("key") % parts)
     asks = compared.filter("kind = 1").select("bucket", "blob")
     sorted_ = cut(_sort(_fetch(texts.drop("doc_id"), asks), parts))
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    release(docs.sparkSession)
     return _result(texts, compared.filter("kind != 1").unionByName(sorted_.withColumn("kind", F.lit(0))))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from varilume.functions.vocab import GENETIC_CODES, SO_TERMS, consequence, impact, impact_code, rules
 from varilume.operators import annotate as A
 from varilume.operators import intervals
+from varilume.operators import lof as L
 from varilume.operators.classify import introns, regions, splice
 from varilume.operators.coding import project
 from varilume.operators.events import allele_geometry
@@ -122,13 +123,15 @@ def impact_text(spark, sf_dir):
     return rule_program(spark, sf_dir).select("event_index", consequence(m).alias("consequence"), impact_code(m).alias("impact_code"), impact(m).alias("impact"))
 
 
-def allele_classes(spark, sf_dir):
-    """Share of classes by region: how the flagship's rows spread."""
-    got = annotate_rich(spark, sf_dir)
-    return got.groupBy("impact").agg(F.count("*").alias("pairs"))
+def lof(spark, sf_dir):
+    """Loss-of-function calls of substitutions, with splice bases from reference chunks."""
+    tx = X.transcripts(spark, sf_dir)
+    letters = f"array_join(transform(sequence(cast(start as bigint) + 1, cast(end as bigint)), p -> {X.base('p', 'seq_region')}), '')"
+    chunks = tx.select("seq_region").distinct().selectExpr("seq_region", "explode(sequence(0, 19900, 100)) AS start").selectExpr("seq_region", "start", "start + 100 AS end").selectExpr("*", f"{letters} AS seq")
+    return L.lof(A.small_variants(_snv(spark, sf_dir), tx, K, K), chunks)
 
 
-QUERIES = {f.__name__: f for f in (interval_join, interval_union, asof_interval, region_class, splice_class, projection, annotate_snv, annotate_rich, annotate_compact, indel_frame, coverage_intergenic, coding_transcripts, interval_features, sv_consequence, breakend_candidates, rule_program, impact_text)}
+QUERIES = {f.__name__: f for f in (interval_join, interval_union, asof_interval, region_class, splice_class, projection, annotate_snv, annotate_rich, annotate_compact, indel_frame, coverage_intergenic, coding_transcripts, interval_features, sv_consequence, breakend_candidates, lof, rule_program, impact_text)}
 
 _PR = f"""
 pr AS (SELECT e.event_index, e.position AS pos, e.reference, e.alternate, t.* FROM ev e JOIN tx t ON e.seq_region = t.seq_region
@@ -214,9 +217,6 @@ ORACLES = {
     "coding_transcripts": f"""WITH {X.CTE} SELECT e.event_index, string_agg(CAST(x.transcript_index AS VARCHAR), ',' ORDER BY x.transcript_index) AS transcripts FROM ev e JOIN ex x ON e.seq_region = x.seq_region AND e.position BETWEEN x.es AND x.ee AND e.position BETWEEN x.cds_start AND x.cds_end WHERE e.form < 7 AND x.coding GROUP BY e.event_index""",
     "interval_features": f"""WITH {X.CTE}, f AS (SELECT {X.FEATURE} FROM part), h AS (SELECT event_index, regulation_feature_index, feature_kind, e.position <= feature_start AND e.position >= feature_end AS whole FROM ev e JOIN f ON e.seq_region = f.seq_region AND e.position BETWEEN f.feature_start AND f.feature_end WHERE form < 7)
  SELECT event_index, regulation_feature_index, CASE WHEN feature_kind = 2 THEN CAST(68719476736 AS BIGINT) ELSE CAST(549755813888 AS BIGINT) END AS consequence_mask, CASE WHEN feature_kind = 2 THEN 'TF_binding_site_variant' ELSE 'regulatory_region_variant' END AS consequence, 'MODIFIER' AS impact FROM h""",
-    "indel_frame": f"""WITH {X.CTE}, p AS (SELECT e.*, t.* EXCLUDE (seq_region), CASE WHEN form = 9 THEN position + 1 ELSE position END AS a, CASE WHEN form = 9 THEN position + 2 ELSE position + 1 END AS b,
-   CASE WHEN form = 9 THEN -2 WHEN event_index % 4 = 0 THEN 3 ELSE 2 END - CASE WHEN form = 8 THEN 0 ELSE 0 END AS change FROM ev e JOIN tx t ON e.seq_region = t.seq_region AND t.transcript_start <= e.position + {K} + 3 AND t.transcript_end >= e.position - {K} WHERE form >= 8 AND coding)
- SELECT 0 AS unused WHERE false""",
     "rule_program": """SELECT event_id AS event_index, CAST(CASE WHEN event_id % 7 = 0 THEN 33554432 WHEN event_id % 3 = 0 THEN 4194304
  WHEN event_id % 2 = 0 OR event_id % 5 = 0 OR event_id % 11 = 0 THEN (CASE WHEN event_id % 2 = 0 THEN 8192 ELSE 0 END) + (CASE WHEN event_id % 5 = 0 THEN 16384 ELSE 0 END) + (CASE WHEN event_id % 11 = 0 THEN 4 ELSE 0 END) ELSE 8589934592 END AS BIGINT) AS consequence_mask FROM events""",
     "impact_text": """SELECT event_id AS event_index, CASE WHEN event_id % 7 = 0 THEN 'transcript_ablation' WHEN event_id % 3 = 0 THEN 'mature_miRNA_variant'
@@ -237,5 +237,18 @@ ORACLES = {
  SELECT event_index, transcript_index, consequence, CASE WHEN consequence LIKE 'transcript_a%' OR consequence LIKE 'feature_%' THEN 'HIGH' WHEN consequence LIKE 'splice_poly%' THEN 'LOW' ELSE 'MODIFIER' END AS impact FROM i""",
     "breakend_candidates": f"""WITH {X.CTE}, sv AS (SELECT {X.STRUCTURAL} FROM events), pt AS (SELECT event_index, seq_region, position AS p FROM sv WHERE event_index % 4 = 0 UNION ALL SELECT event_index, seq_region, end_position FROM sv WHERE event_index % 4 = 0)
  SELECT event_index, transcript_index, bool_or(p BETWEEN transcript_start AND transcript_end) AS truncated FROM pt JOIN tx ON pt.seq_region = tx.seq_region AND transcript_start <= p + {K} AND transcript_end >= p - {K} WHERE NOT coding GROUP BY 1, 2""",
+    "lof": f"""WITH {X.CTE}, {_PR}, {_SNV},
+ k AS (SELECT *, CASE WHEN strand = 1 THEN cds_end ELSE cds_start END AS stop, ap = '*' AND rp <> '*' AS gained FROM cj WHERE coding AND ((ap = '*' AND rp <> '*') OR donor OR acceptor)),
+ w AS (SELECT k.event_index, k.transcript_index, sum(CASE WHEN (k.strand = 1 AND pos > ee) OR (k.strand = -1 AND pos < es) THEN 0 ELSE abs(
+   CASE WHEN (k.strand = 1 AND es < stop AND ee >= stop) OR (k.strand = -1 AND ee > stop AND es <= stop) THEN stop WHEN k.strand = 1 THEN ee ELSE es END - CASE WHEN pos BETWEEN es AND ee THEN pos WHEN k.strand = 1 THEN es ELSE ee END) END) AS dist,
+   max(CASE WHEN stop BETWEEN es AND ee AND NOT ((k.strand = 1 AND pos > ee) OR (k.strand = -1 AND pos < es)) THEN CASE WHEN k.strand = 1 THEN stop - es ELSE ee - stop END END) AS own,
+   max(CASE WHEN k2 < k.exon_count - 1 AND pos > ee AND pos <= ee + k.intron_len THEN ee END) AS edge FROM k JOIN (SELECT transcript_index, k AS k2, es, ee FROM ex) x ON x.transcript_index = k.transcript_index GROUP BY ALL),
+ b AS (SELECT k.*, dist, own, edge, {X.base('edge + 1', 'seq_region')} || {X.base('edge + 2', 'seq_region')} AS l2, {X.base('edge + intron_len - 1', 'seq_region')} || {X.base('edge + intron_len', 'seq_region')} AS r2,
+   {' || '.join(X.base(f'pos + {i}', 'seq_region') for i in range(-4, 5))} AS near9 FROM k JOIN w USING (event_index, transcript_index)),
+ c AS (SELECT *, CASE WHEN strand = 1 THEN l2 ELSE translate(reverse(r2), 'ACGT', 'TGCA') END AS f2, CASE WHEN strand = 1 THEN r2 ELSE translate(reverse(l2), 'ACGT', 'TGCA') END AS e2, CASE WHEN strand = 1 THEN near9 ELSE translate(reverse(near9), 'ACGT', 'TGCA') END AS n9 FROM b),
+ d AS (SELECT *, nullif(concat_ws(',', CASE WHEN gained AND cds IS NOT NULL AND dist - own <= 50 THEN 'END_TRUNC' END, CASE WHEN donor AND f2 = 'GC' AND ref = 'C' AND alt = 'T' THEN 'GC_TO_GT_DONOR' END,
+   CASE WHEN (donor OR acceptor) AND ((strand = 1 AND pos < cds_start) OR (strand = -1 AND pos > cds_end)) THEN '5UTR_SPLICE' END, CASE WHEN (donor OR acceptor) AND ((strand = 1 AND pos > cds_end) OR (strand = -1 AND pos < cds_start)) THEN '3UTR_SPLICE' END), '') AS lof_filter FROM c)
+ SELECT event_index, transcript_index, CASE WHEN lof_filter IS NULL THEN 'HC' ELSE 'LC' END AS lof, lof_filter,
+ nullif(concat_ws(',', CASE WHEN gained AND exon_count = 1 THEN 'SINGLE_EXON' END, CASE WHEN (donor OR acceptor) AND NOT (f2 = 'GT' AND e2 = 'AG') THEN 'NON_CAN_SPLICE' END, CASE WHEN acceptor AND regexp_matches(n9, 'AG.AG') THEN 'NAGNAG_SITE' END), '') AS lof_flags,
+ nullif(concat_ws(',', CASE WHEN gained AND cds IS NOT NULL THEN 'GERP_END_TRUNC' END, CASE WHEN exon_at IS NOT NULL THEN 'PHYLOCSF' END, 'ANC_ALLELE'), '') AS lof_unchecked FROM d""",
 }
-del ORACLES["indel_frame"]
