@@ -12,6 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,21 @@ ALIAS = np.dtype([("key", "<i8"), ("first", "<u4"), ("start", "<u4"), ("n", "<u4
 SORT_BYTES = 1 << 20
 
 
+def _squeezed(keyed: DataFrame, buckets: int) -> DataFrame:
+    """(key, bucket, doc_id, z): texts compressed one by one before they are dealt, as they go over the wire twice."""
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("bucket"), batch.column("doc_id"), pa.array([squeeze(t) for t in raw(batch.column("text"))], pa.binary())], ["key", "bucket", "doc_id", "z"])
+
+    return map_batches(keyed.select("key", (F.col("key") % buckets).alias("bucket"), "doc_id", "text"), f, "key long, bucket long, doc_id long, z binary")
+
+
+def _texts(column: pa.ChunkedArray) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(z) for z in column.to_pylist()]
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
@@ -214,7 +230,8 @@ def _fetch(texts: DataFrame, asks: DataFrame) -> DataFrame:
         rows = ([], [], [])
         if asks and left.num_rows:
             asks = np.concatenate(asks)
-            text = dict(zip(left.column("key").to_pylist(), raw(left.column("text").combine_chunks()), strict=True))
+            wanted = np.isin(left.column("key").to_numpy(), asks["key"])
+            text = dict(zip(left.column("key").to_numpy()[wanted].tolist(), _texts(left.column("z").filter(pa.array(wanted))), strict=True))
             asks = asks[np.argsort(asks["shard"], kind="stable")]
             full, begin = np.unique(asks["shard"], return_index=True)
             for s, part in zip(full, np.split(asks, begin[1:]), strict=True):
@@ -304,7 +321,7 @@ def _result(texts: DataFrame, spans: DataFrame) -> DataFrame:
         keys, begin = np.unique(spans["key"], return_index=True)
         found = dict(zip(keys.tolist(), np.split(spans, begin[1:]) if len(keys) else [], strict=True))
         cols: list[list] = [[] for _ in names]
-        for k, i, t in zip(left.column("key").to_pylist(), left.column("doc_id").to_pylist(), raw(left.column("text").combine_chunks()) if left.num_rows else [], strict=True):
+        for k, i, t in zip(left.column("key").to_pylist(), left.column("doc_id").to_pylist(), _texts(left.column("z")), strict=True):
             kept, removed, count = t, 0, 0
             if (s := found.get(k)) is not None:
                 a, e = s["start"].astype(np.int64), s["start"].astype(np.int64) + s["n"] + LENGTH - 1
@@ -335,7 +352,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     parts = max(4, -(-total // SHARD_BYTES))
     compared = cut(_compare(_deal(keyed, parts), parts))
     release(docs.sparkSession)
-    texts = base.select(key.alias("key"), "doc_id", "text").withColumn("bucket", F.col("key") % parts)
+    texts = _squeezed(base.select(key.alias("key"), "doc_id", "text"), parts)
     asks = compared.filter("kind = 1").select("bucket", "blob")
     sorted_ = cut(_sort(_fetch(texts.drop("doc_id"), asks), parts))
     release(docs.sparkSession)
