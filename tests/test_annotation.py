@@ -39,7 +39,8 @@ def test_worked_example(spark, model):
 def test_indels(spark, model):
     rows = [(123, "GTAC", "G"), (124, "T", "TACG"), (126, "C", "CAAA"), (126, "CGT", "C"), (238, "TAA", "TCC"), (120, "A", "C"), (90, "A", "G"), (260, "A", "G")]
     got = {r.event_index: r.consequence for r in annotate(events(spark, rows), model).collect()}
-    assert got[0] == "inframe_deletion" and got[2] == "inframe_insertion" and got[3] == "frameshift_variant"
+    assert got[0] == "inframe_deletion" and got[1] == "inframe_insertion" and got[3] == "frameshift_variant"
+    assert got[2] == "protein_altering_variant"  # Arg becomes Gln-Ser: neither edge of the peptide is kept
     assert got[4] == "stop_lost" and got[5] == "start_lost" and got[6] == "upstream_gene_variant" and got[7] == "downstream_gene_variant"
 
 

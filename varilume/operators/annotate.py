@@ -154,7 +154,9 @@ def annotate(events: DataFrame, transcripts: DataFrame, *, rich: bool = False, h
     validate(events)
     columns = (RICH if rich else COMPACT) + (HGVS if hgvs else ())
     events = events.withColumn("_family", family(events))
-    out = small_variants(events.filter("_family = 'small'"), transcripts, upstream_distance, downstream_distance).select(*columns)
+    # null checks that a join derives may run before the filter: other families' alleles must not reach allele_geometry's errors
+    small = events.filter("_family = 'small'").withColumns({c: F.when(F.col("_family") == "small", F.col(c)) for c in ("reference", "alternate")})
+    out = small_variants(small, transcripts, upstream_distance, downstream_distance).select(*columns)
     if "structural_type" in events.columns:
         out = out.unionByName(structural_variants(events.filter("_family = 'structural'"), transcripts, upstream_distance, downstream_distance).select(*COMPACT), allowMissingColumns=True)
     if "mate_position" in events.columns:
