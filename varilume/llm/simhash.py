@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varilume.llm import alike
 from varilume.llm.common import cut, documents, map_batches, raw, table
 from varilume.llm.components import components
 
@@ -112,7 +113,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 3, width: int
     """One row per document: (doc_id, f0.., component_id), the smallest doc_id reachable by links.
 
     The default takes 5-word shingles and 192 bits; 27 differing bits stand for a Jaccard likeness of
-    0.82, so that what is linked has 0.8 or more but for the sketch's error. Equal fingerprints meet in one
+    about 0.82, with the sketch's error, and its 12 segments miss some pairs beyond 23 bits. Equal fingerprints meet in one
     point, so copies cost no pairs. A large group of near copies is first joined by the few links of one segment; the
     search over all segments then leaves out pairs that are joined already, which changes no component.
     Null and empty texts have fingerprint 0 and are linked like any other; of repeated doc_ids each row is
@@ -128,9 +129,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 3, width: int
     return marks.join(named, names, "left").select("doc_id", *names, "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """docs without all but the document of the smallest doc_id of each component; repeated doc_ids stay together."""
-    gone = near_duplicates(docs, **params).filter("doc_id != component_id").select("doc_id").distinct()
+def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs without all but the document of the smallest doc_id of each component of shingle sets of Jaccard likeness 0.8 or more.
+
+    No workable radius of SimHash finds all such pairs (about 29 of 192 bits differ at 0.8, give or take 5), so they come from
+    the exact join of ``alike``; repeated doc_ids stay together.
+    """
+    gone = alike.near_duplicates(docs, words).filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
