@@ -2,7 +2,7 @@
 
 import random
 
-from varilume.llm import alike, simhash
+from varilume.llm import alike, licenses, simhash
 
 
 def jaccard(a, b):
@@ -43,3 +43,11 @@ def test_near_duplicates_at_the_bound(spark, monkeypatch):
     want = {i: root(i) for i in texts}
     assert {x.doc_id: x.component_id for x in alike.near_duplicates(df).collect()} == want
     assert {x.doc_id for x in simhash.drop_near_duplicates(df).collect()} == set(want.values())
+
+
+def test_wrapped_templates():
+    index = licenses.Index(licenses.TEMPLATES, {})
+    bsd = b"Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"
+    mit = b"Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    other = b"some prose that says nothing of it\n" * 40
+    assert index.labelled(other + bsd + b"\n" + other) == ({"bsd"}, 1.0) and index.labelled(other + mit)[0] == {"mit"}

@@ -26,7 +26,7 @@ TEMPLATES = (
 )
 #: Share of a template's words that a block must hold.
 THRESHOLD = 0.8
-#: A block is a line; longer lines are cut into windows that overlap by half.
+#: Blocks are windows over the words of the whole text that overlap by half, and those of each line.
 BLOCK_WORDS = 64
 #: Bytes that part words: all ASCII but digits and small letters. 0x0A is kept apart, as lines end there.
 _SPLIT = bytes(c if c >= 0x80 or chr(c).isdigit() or "a" <= chr(c) <= "z" else 0x20 for c in range(256))
@@ -72,8 +72,9 @@ class Index:
         return out
 
     def blocks(self, text: bytes):
-        for line in text.split(b"\n"):
-            w = words(line)
+        # the whole text comes first, as templates may be wrapped over lines
+        for part in (text, *(text.split(b"\n") if b"\n" in text else ())):
+            w = words(part)
             if not self.seeds.isdisjoint(w):
                 for a in range(0, max(1, len(w) - BLOCK_WORDS // 2), BLOCK_WORDS // 2):
                     yield w[a : a + BLOCK_WORDS]
