@@ -2,7 +2,7 @@
 
 import random
 
-from varilume.llm import alike, licenses, simhash
+from varilume.llm import alike, licenses, simhash, substrings
 
 
 def jaccard(a, b):
@@ -51,3 +51,19 @@ def test_wrapped_templates():
     mit = b"Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
     other = b"some prose that says nothing of it\n" * 40
     assert index.labelled(other + bsd + b"\n" + other) == ({"bsd"}, 1.0) and index.labelled(other + mit)[0] == {"mit"}
+
+
+def test_runs_travel_with_their_whole_hash(spark):
+    import numpy as np
+
+    r = random.Random(7)
+    texts = ["".join(r.choice("abcdefghijklmnop") for _ in range(300)) for _ in range(12)]
+    want = sorted(int(x) for x in substrings.runs([t.encode() for t in texts])[4])
+    got = []
+    for row in substrings._deal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id AS key", "doc_id", "text"), 4).collect():
+        m, at = len(row.runs) // substrings.RUN.itemsize, 0
+        for c in substrings.RUN.names:
+            if c == "whole":
+                got += [int(x) for x in np.frombuffer(row.runs, substrings.RUN[c], m, at)]
+            at += m * substrings.RUN[c].itemsize
+    assert sorted(got) == want

@@ -3,7 +3,7 @@
 A window of 50 bytes belongs to the shard of the least hash among its 16-byte strings, so equal windows meet whatever text
 surrounds them. Consecutive windows of one hash form a run and travel as one. A run that stands elsewhere
 as a whole needs no bytes; runs that share a hash but differ go to the suffix sort of ``induced``, which finds their windows
-in common. What is shuffled besides the texts is about 15 bytes for each run, and a run has some 17 windows.
+in common. Runs are equal if 64 bits of hash and the length are. What is shuffled besides the texts is some 20 bytes for each run, and a run has some 17 windows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ LENGTH, GRAM = 50, 16
 SHARD_BYTES, CHUNK = 3 << 20, 1 << 19
 _M = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) ^ np.random.default_rng(51).integers(0, 2**63, 256, dtype=np.uint64)
-RUN = np.dtype([("high", "<u4"), ("low", "<u2"), ("whole", "<u4"), ("doc", "<u2"), ("start", "<u4"), ("n", "<u4")])
+RUN = np.dtype([("high", "<u4"), ("low", "<u2"), ("whole", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("n", "<u4")])
 SPAN = np.dtype([("key", "<i8"), ("start", "<u4"), ("n", "<u4")])
 ASK = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("value", "<u8"), ("start", "<u4"), ("n", "<u4"), ("shard", "<u4")])
 ALIAS = np.dtype([("key", "<i8"), ("first", "<u4"), ("start", "<u4"), ("n", "<u4")])
@@ -131,10 +131,10 @@ def _deal(docs: DataFrame, shards: int) -> DataFrame:
             for col, v in zip(found, (index[owner], start + offset[owner], n, value, whole), strict=True):
                 col.append(v)
         doc, start, n, value, whole = (np.concatenate(c) for c in found)
-        order = np.lexsort((ids[doc], whole, value))
+        order = np.lexsort((ids[doc], n, whole, value))
         doc, start, n, value, whole = (v[order] for v in (doc, start, n, value, whole))
         lead = np.ones(len(doc), bool)
-        lead[1:] = (value[1:] != value[:-1]) | (whole[1:] != whole[:-1])
+        lead[1:] = (value[1:] != value[:-1]) | (whole[1:] != whole[:-1]) | (n[1:] != n[:-1])
         least = ids[doc][lead][np.cumsum(lead) - 1] if len(doc) else np.zeros(0, np.int64)
         again = ids[doc] > least
         shard = ((value >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
@@ -145,9 +145,9 @@ def _deal(docs: DataFrame, shards: int) -> DataFrame:
             go, bare = ~again[part], again[part]
             used, local = np.unique(doc[part], return_inverse=True)
             out = np.zeros(int(go.sum()), RUN)
-            # 48 bits of the hash besides the shard, 32 of the whole run's
+            # 48 bits of the hash besides the shard, all 64 of the whole run's
             out["high"], out["low"] = (value[part][go] >> np.uint64(16)) & np.uint64(0xFFFFFFFF), value[part][go] & np.uint64(0xFFFF)
-            out["whole"], out["doc"] = whole[part][go] >> np.uint64(32), local[go]
+            out["whole"], out["doc"] = whole[part][go], local[go]
             out["start"], out["n"] = start[part][go], n[part][go]
             more = np.zeros(int(bare.sum()), SPAN)
             more["key"], more["start"], more["n"] = keys[doc[part][bare]], start[part][bare], n[part][bare]
@@ -187,12 +187,12 @@ def _compare(dealt: DataFrame, buckets: int) -> DataFrame:
             cols["start"].append(r["start"])
             cols["n"].append(r["n"])
         r = {c: np.concatenate(cols.pop(c)) for c in list(cols)}
-        order = np.lexsort((r["start"], r["key"], r["doc_id"], r["whole"], r["value"]))
+        order = np.lexsort((r["start"], r["key"], r["doc_id"], r["n"], r["whole"], r["value"]))
         r = {c: v[order] for c, v in r.items()}
         top = np.ones(len(order), bool)
         top[1:] = r["value"][1:] != r["value"][:-1]
         lead = top.copy()
-        lead[1:] |= r["whole"][1:] != r["whole"][:-1]
+        lead[1:] |= (r["whole"][1:] != r["whole"][:-1]) | (r["n"][1:] != r["n"][:-1])
         at = np.flatnonzero(lead)
         least = r["doc_id"][at][np.cumsum(lead) - 1]
         again = r["doc_id"] > least
