@@ -2,7 +2,7 @@
 
 import random
 
-from varilume.llm import alike, licenses, simhash, substrings
+from varilume.llm import alike, licenses, secrets, simhash, substrings
 
 
 def jaccard(a, b):
@@ -67,3 +67,15 @@ def test_runs_travel_with_their_whole_hash(spark):
                 got += [int(x) for x in np.frombuffer(row.runs, substrings.RUN[c], m, at)]
             at += m * substrings.RUN[c].itemsize
     assert sorted(got) == want
+
+
+def test_keys_joined_to_a_name():
+    r = random.Random(3)
+    hexes = ["".join(r.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(200)]
+    for name in ("KEY=", "sig_", "x/"):
+        assert sum(bool(secrets.entropy_spans(name + h)) for h in hexes) >= 198
+    key = "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA9x8Kq"
+    for text in ("abcdefghijklmnop=" + key, key + "_0123456789abcdef", "123e4567-e89b-12d3-a456-426614174000/" + key):
+        (a, b, _), = secrets.entropy_spans(text)
+        assert set(key) >= set(text[a:b].strip("=_/")) and b - a >= 20
+    assert not secrets.entropy_spans("n=20240101123456789012345 id=123e4567-e89b-12d3-a456-426614174000 abcdefghijklmnopqrstuvwxyz0123456789")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,9 @@ LEAST = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
 _CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("alnum", re.compile(r"[A-Za-z0-9]+")), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+")))
 #: Candidates that are no secrets: identifiers, numbers, words, file paths, alphabets.
 ALLOW = tuple(re.compile(x) for x in (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[0-9_+/=-]+", r"[A-Za-z]?[a-z]+", r"[A-Z]+", r"[/_=-]*+(?:[A-Za-z][a-z]*+[/_=-]++)*+(?:[A-Za-z][a-z]*+)?"))
-_SEQUENCES = ("0123456789abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789")
+_IDENTIFIER = re.compile(rf"(?<![A-Za-z0-9]){ALLOW[0].pattern}(?![A-Za-z0-9])")
+#: Places of digits and letters in alphabet order, which goes round; 255: other characters.
+_ORDER = bytes(int(chr(c), 36) if c < 128 and chr(c).isalnum() else 255 for c in range(256))
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -54,7 +57,21 @@ def entropy_runs(s: str, least: float, window: int = WINDOW) -> list[tuple[int,
 
 
 def allowed(s: str) -> bool:
-    return any(p.fullmatch(s) for p in ALLOW) or any(s.lower()[i : i + 12] in q for q in _SEQUENCES for i in (0, max(0, len(s) - 12)))
+    return any(p.fullmatch(s) for p in ALLOW)
+
+
+def pieces(s: str) -> list[tuple[int, int]]:
+    """Parts of a candidate besides identifiers and stretches of alphabet order in it."""
+    skip = [m.span() for m in _IDENTIFIER.finditer(s)]
+    code = np.frombuffer(s.encode().translate(_ORDER), np.uint8).astype(np.int16)
+    step = (code[:-1] < 36) & (code[1:] < 36) & ((code[1:] - code[:-1]) % 36 == 1)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], step.astype(np.int8), [0]))))
+    skip += [(int(a), int(b) + 1) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a + 1 >= 12]
+    out, pos = [], 0
+    for a, b in sorted(skip):
+        out.append((pos, a))
+        pos = max(pos, b)
+    return [(a, b) for a, b in [*out, (pos, len(s))] if b - a >= WINDOW]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -67,13 +84,24 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
+    """Each window is held against the bound of the narrowest class that its characters are of."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if allowed(s):
+        if allowed(m[0]):
             continue
-        kind = next(k for k, p in _CLASSES if p.fullmatch(s))
-        out += [(m.start() + a, m.start() + b, "entropy") for a, b in entropy_runs(s, LEAST[kind])]
+        for a, b in pieces(m[0]):
+            found = []
+            for kind, p in _CLASSES:
+                for run in p.finditer(m[0], a, b):
+                    if len(run[0]) >= WINDOW and not allowed(run[0]):
+                        found += [(run.start() + x, run.start() + y) for x, y in entropy_runs(run[0], LEAST[kind])]
+            end = -1
+            for x, y in sorted(found):
+                if x > end:
+                    out.append((m.start() + x, m.start() + y, "entropy"))
+                elif y > end:
+                    out[-1] = (out[-1][0], m.start() + y, "entropy")
+                end = max(end, y)
     return out
 
 
