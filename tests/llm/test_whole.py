@@ -2,7 +2,7 @@
 
 import random
 
-from varilume.llm import alike, licenses, secrets, simhash, substrings
+from varilume.llm import alike, decontam, licenses, secrets, simhash, substrings
 
 
 def jaccard(a, b):
@@ -79,3 +79,16 @@ def test_keys_joined_to_a_name():
         (a, b, _), = secrets.entropy_spans(text)
         assert set(key) >= set(text[a:b].strip("=_/")) and b - a >= 20
     assert not secrets.entropy_spans("n=20240101123456789012345 id=123e4567-e89b-12d3-a456-426614174000 abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def test_blocks_of_test_items(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h and i j k l m n o p"), (1, "a b c d e f g h and i j k l m n o p"), (2, "nothing of it"), (None, "i j k l m n o p")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f g h"), (2, "i j k l m n o p"), (3, "i j k l m n o p"), (3, "i j k l m q q q q q"), (4, "x y z x y z x y")], "item_id long, text string")
+    want = sorted(map(str, decontam.overlaps(docs, bench).collect()))
+    assert len(want) == 4 and sum("items=[1, 2, 3]" in x for x in want) == 2
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 12)
+    assert len(list(decontam._blocks(bench))) > 1
+    assert sorted(map(str, decontam.overlaps(docs, bench).collect())) == want
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [2]
+    items = decontam.Items([(3, b"i j k l m n o p"), (3, b"i j k l m q q q q q")])
+    assert items.coverage(b"i j k l m n o p") == {3: 1.0}

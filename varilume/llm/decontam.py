@@ -85,7 +85,8 @@ class Items:
             s = slice(np.searchsorted(owner, k), np.searchsorted(owner, k, side="right"))
             covered = tile(self.tokens[k], ids, place[s], at[s], n)
             if covered:
-                out[self.ids[k]] = covered / len(self.tokens[k])
+                # of items of one id the best counts
+                out[self.ids[k]] = max(out.get(self.ids[k], 0.0), covered / len(self.tokens[k]))
         return out
 
 
@@ -135,27 +136,24 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and block of test items: (doc_id, n_items, coverage, items).
+    """One row per document: (doc_id, n_items, coverage, items).
 
     coverage: the highest of any test item; items: ids of those at the threshold or above, ascending. Null and empty texts
     have coverage 0; test items with a null id or text, or under 5 tokens, never match; repeated rows each give a row.
     """
-
-    def over(block: list[tuple[int, bytes]]) -> DataFrame:
+    # each block adds to what the ones before found, row by row
+    out = documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0.0).alias("coverage"), F.expr("cast(array() as array<bigint>)").alias("items"))
+    for block in _blocks(benchmark):
         found = Items(block)
 
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def f(batch: pa.RecordBatch, found: Items = found) -> pa.RecordBatch:
             got = [found.coverage(t) for t in raw(batch.column("text"))]
-            hits = [sorted(k for k, v in g.items() if v >= threshold) for g in got]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in hits], pa.int64()), pa.array([max(g.values(), default=0.0) for g in got], pa.float64()), pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "n_items", "coverage", "items"])
+            hits = [sorted({*had, *(k for k, v in g.items() if v >= threshold)}) for had, g in zip(batch.column("items").to_pylist(), got, strict=True)]
+            best = [max(had, *g.values()) if g else had for had, g in zip(batch.column("coverage").to_pylist(), got, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(best, pa.float64()), pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "text", "coverage", "items"])
 
-        return map_batches(documents(docs), f, "doc_id long, n_items long, coverage double, items array<long>")
-
-    parts = [over(b) for b in _blocks(benchmark)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = map_batches(out, f, "doc_id long, text string, coverage double, items array<long>")
+    return out.select("doc_id", F.size("items").cast("long").alias("n_items"), "coverage", "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
