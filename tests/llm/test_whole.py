@@ -2,7 +2,7 @@
 
 import random
 
-from varilume.llm import alike, decontam, licenses, secrets, simhash, substrings
+from varilume.llm import alike, decontam, licenses, mixing, secrets, simhash, substrings
 
 
 def jaccard(a, b):
@@ -92,3 +92,8 @@ def test_blocks_of_test_items(spark, monkeypatch):
     assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [2]
     items = decontam.Items([(3, b"i j k l m n o p"), (3, b"i j k l m q q q q q")])
     assert items.coverage(b"i j k l m n o p") == {3: 1.0}
+
+
+def test_repeated_empty_rows_have_places(spark):
+    rows = [(1, "", "a"), (1, "", "a"), (2, None, "a"), (2, None, "a"), (None, "", "a"), (None, "", "a"), (3, "one two", "a")]
+    assert mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == len(rows)

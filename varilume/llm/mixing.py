@@ -192,7 +192,7 @@ def plan(docs: DataFrame, block: int, with_text: bool) -> Mix:
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0))).select(F.col("source").alias("src"), F.col("bucket").alias("bkt"), "before")
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = sized.withColumns({"start": F.coalesce(F.sum("size").over(inside), F.lit(0)), "place": F.row_number().over(Window.partitionBy("source", "bucket").orderBy("doc_id", "tie"))})
     placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["src"]) & (placed["bucket"] == offsets["bkt"])).withColumn("start", F.col("start") + F.col("before"))
     placed = placed.join(known, placed["source"].eqNullSafe(known["name"]))
     if with_text:
@@ -203,7 +203,7 @@ def plan(docs: DataFrame, block: int, with_text: bool) -> Mix:
         text = text.withColumn("n", F.row_number().over(Window.partitionBy("id", "of", "t").orderBy("t")))
         placed = placed.join(text, placed["doc_id"].eqNullSafe(text["id"]) & placed["source"].eqNullSafe(text["of"]) & (placed["tie"] == text["t"]) & (placed["nth"] == text["n"])).withColumn("words_", words)
     first, last = F.col("start"), F.col("start") + F.col("size")
-    keep = ["doc_id", "size", "source", "source_size", "target", "source_no", "start"]
+    keep = ["doc_id", "size", "source", "source_size", "target", "source_no", "start", "bucket", "place"]
     b = F.expr(f"explode_outer(if(size > 0, sequence(start div {block}, (start + size - 1) div {block}), null))")
     pieces = placed.select(*keep, *(["words_"] if with_text else []), b.alias("block"))
     pieces = pieces.withColumns({"lo": F.greatest(first, F.col("block") * block), "hi": F.least(last, (F.col("block") + 1) * block)})
@@ -223,7 +223,7 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     got = mix.pieces.join(mix.slots.select(F.col("source_no").alias("s"), F.col("block").alias("b"), "words"), (F.col("source_no") == F.col("s")) & (F.col("block") == F.col("b")), "left")
     # least() passes over nulls, so a block without a slot needs saying
     n = F.when(F.col("words").isNotNull(), F.greatest(F.lit(0), F.least("hi", F.col("block") * block + F.col("words")) - F.col("lo")))
-    return got.groupBy("doc_id", "source", "start", "size", "source_size", "target").agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    return got.groupBy("doc_id", "source", "bucket", "place", "start", "size", "source_size", "target").agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
