@@ -110,6 +110,18 @@ def breakend_candidates(spark, sf_dir):
     return A.breakends(ev, X.transcripts(spark, sf_dir).filter("not coding"), K).select(*PAIR, F.expr("consequence like '%feature_truncation%'").alias("truncated"))
 
 
+def sv_annotate(spark, sf_dir):
+    """All structural events on all transcripts, coding ones too; no SQL."""
+    ev = X.structural_events(spark, sf_dir).withColumns({"reference": F.lit("N"), "alternate": F.concat(F.lit("<"), "structural_type", F.lit(">"))})
+    return A.structural_variants(ev, X.transcripts(spark, sf_dir), K, K).select(*PAIR, "consequence", "impact")
+
+
+def breakend_annotate(spark, sf_dir):
+    """All structural events as breakends on all transcripts, coding ones too; no SQL."""
+    ev = X.structural_events(spark, sf_dir).withColumns({"mate_seq_region": F.col("seq_region"), "mate_position": F.col("end_position"), "alternate": F.lit("N[x:1[")})
+    return A.breakends(ev, X.transcripts(spark, sf_dir), K).select(*PAIR, "consequence", "impact")
+
+
 def rule_program(spark, sf_dir):
     """Terms of made-up fact bits: three bits of each event's number pick facts of the three tiers."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("event_index"))
@@ -131,7 +143,7 @@ def lof(spark, sf_dir):
     return L.lof(A.small_variants(_snv(spark, sf_dir), tx, K, K), chunks)
 
 
-QUERIES = {f.__name__: f for f in (interval_join, interval_union, asof_interval, region_class, splice_class, projection, annotate_snv, annotate_rich, annotate_compact, indel_frame, coverage_intergenic, coding_transcripts, interval_features, sv_consequence, breakend_candidates, lof, rule_program, impact_text)}
+QUERIES = {f.__name__: f for f in (interval_join, interval_union, asof_interval, region_class, splice_class, projection, annotate_snv, annotate_rich, annotate_compact, indel_frame, coverage_intergenic, coding_transcripts, interval_features, sv_consequence, breakend_candidates, sv_annotate, breakend_annotate, lof, rule_program, impact_text)}
 
 _PR = f"""
 pr AS (SELECT e.event_index, e.position AS pos, e.reference, e.alternate, t.* FROM ev e JOIN tx t ON e.seq_region = t.seq_region
