@@ -45,8 +45,8 @@ def test_indels(spark, model):
 
 
 def test_events_are_validated(spark, model):
-    with pytest.raises(ValueError, match="position"):
-        annotate(events(spark, [(0, "A", "C")]), model)
+    with pytest.raises(Exception, match="position must be"):
+        annotate(events(spark, [(0, "A", "C")]), model).collect()
     with pytest.raises(ValueError, match="distances"):
         annotate(events(spark, [(1, "A", "C")]), model, upstream_distance=-1)
 
@@ -97,3 +97,48 @@ def test_splice_sites_on_both_strands(spark, model):
     got = {(r.event_index, r.transcript_index): r.consequence for r in annotate(events(spark, [(151, "A", "C"), (199, "A", "C"), (155, "A", "C")]), model.unionByName(minus)).collect()}
     assert "splice_donor_variant" in got[0, 0] and "splice_acceptor_variant" in got[0, 1] and "splice_acceptor_variant" in got[1, 0] and "splice_donor_variant" in got[1, 1]
     assert "splice_donor_5th_base_variant" in got[2, 0]
+
+
+def test_filter_on_the_mask_plans(spark, model):
+    got = annotate(events(spark, [(124, "T", "C"), (151, "G", "A")]), model).filter(F.col("consequence_mask").bitwiseAND(F.lit(1 << 8)) != 0)
+    assert [r.event_index for r in got.collect()] == [1]
+
+
+def reference(spark):
+    """Bases of the worked transcript's region: exons as its sequences say, introns and flanks made up."""
+    seq = list(("GATTACAGC" * 40)[:320])
+    spliced = "TACGTACGTACGTACGTACG" + CDS + "ACGTACGTAC"
+    for k, at in enumerate([*range(100, 151), *range(200, 251)]):
+        seq[at - 1] = spliced[k]
+    return "".join(seq), spark.createDataFrame([(1, a, min(a + 64, 320), "".join(seq[a : a + 64])) for a in range(0, 320, 64)], "seq_region int, start long, end long, seq string")
+
+
+def test_hgvs_with_reference(spark, model):
+    """Coordinates of UTRs and introns, moves along repeats and duplications, on both strands."""
+    seq, chunks = reference(spark)
+    at = lambda a, b: seq[a - 1 : b]
+    other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    snv = lambda p: (p, at(p, p), other[at(p, p)])
+    rows = [snv(110), snv(153), snv(197), snv(245), (130, at(130, 131), at(130, 130)), (130, at(130, 130), at(130, 130) + at(131, 133)), (121, "TGG", "T"), (110, "A" if at(110, 110) != "A" else "C", "T" if at(110, 110) != "T" else "G")]
+    got = annotate(events(spark, rows), model, rich=True, hgvs=True, chunks=chunks).orderBy("event_index").collect()
+    assert got[0].transcript_hgvs == f"c.-10{at(110, 110)}>{other[at(110, 110)]}" and got[0].transcript_hgvs_status == "ok"
+    assert got[1].transcript_hgvs == f"c.31+3{at(153, 153)}>{other[at(153, 153)]}"
+    assert got[2].transcript_hgvs == f"c.32-3{at(197, 197)}>{other[at(197, 197)]}"
+    assert got[3].transcript_hgvs == f"c.*5{at(245, 245)}>{other[at(245, 245)]}"
+    assert got[4].transcript_hgvs == "c.12del" and "fsTer" in got[4].protein_hgvs
+    assert got[5].transcript_hgvs == "c.12_14dup" and got[5].consequence == "stop_gained&inframe_insertion"
+    assert got[6].transcript_hgvs == "c.3_4del" and got[7].transcript_hgvs_reason == "reference_mismatch"
+
+
+def test_hgvs_deletion_moves_to_the_three_prime_end(spark):
+    """Against all deletions that give the same sequence, on either strand."""
+    from varilume.functions.hgvs import shifted
+
+    text = "CCATATATATGGGAAACCC"
+    for low in range(1, len(text)):
+        for high in range(low, min(low + 4, len(text) + 1)):
+            k, cut = high - low + 1, lambda i, k=high - low + 1: text[: i - 1] + text[i - 1 + k :]
+            same = [i for i in range(1, len(text) - k + 2) if cut(i) == cut(low)]
+            run = [i for i in same if all(j in same for j in range(min(i, low), max(i, low) + 1))]
+            assert low + shifted(text, 1, low, high, text[low - 1 : high], "", True) == max(run)
+            assert low - shifted(text, 1, low, high, text[low - 1 : high], "", False) == min(run)

@@ -137,3 +137,20 @@ RENDER = sorted(BIT, key=lambda n: next(r for _, m, _, r, _ in SO_TERMS if m ==
 def consequence(mask: Column) -> Column:
     """Names joined by &, the most severe first."""
     return F.concat_ws("&", *(F.when(has(mask, n), F.lit(n)) for n in RENDER))
+
+
+def describe(mask: int) -> tuple[str, int, str]:
+    """(names, impact code, impact) of one mask, in the order of consequence()."""
+    held = [x for x in sorted(SO_TERMS, key=lambda x: x[3]) if mask >> x[0] & 1]
+    code = max((x[2] for x in held), default=0)
+    return "&".join(x[1] for x in held), code, IMPACTS[code]
+
+
+def rules_of(facts: dict):
+    """rules() over arrays of facts."""
+    import numpy as np
+
+    tier = {n: t for _, n, _, _, t in SO_TERMS}
+    sums = {t: sum((np.where(c, np.int64(1 << BIT[n]), 0) for n, c in facts.items() if tier[n] == t), np.zeros(1, np.int64)) for t in (1, 2, 3)}
+    out = np.where(sums[1] != 0, sums[1], np.where(sums[2] != 0, sums[2], sums[3]))
+    return np.where(out != 0, out, np.int64(1 << BIT["intergenic_variant"]))

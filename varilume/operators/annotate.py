@@ -2,106 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from varilume.functions.vocab import RESIDUES, consequence, impact, impact_code
-from varilume.operators.classify import introns, regions, splice
-from varilume.operators.coding import NONE, delta, project
-from varilume.operators.effects import consequence_mask, exon_rank, feature_mask, nmd, structural
+from varilume.functions.hgvs import COLUMNS as HGVS
+from varilume.functions.hgvs import REACH
+from varilume.functions.vocab import consequence, impact, impact_code
+from varilume.operators import kernel
+from varilume.operators.classify import feature_mask, introns
 from varilume.operators.events import allele_geometry
 from varilume.operators.intervals import overlap_join
 
 MODEL = ("transcript_index", "seq_region", "transcript_start", "transcript_end", "strand", "transcript_flags", "cds_start", "cds_end", "cds_sequence", "codon_table", "post_cds_sequence", "exons")
-COMPACT = ("event_index", "transcript_index", "consequence_mask", "consequence", "impact_code", "impact", "cdna_start", "cdna_end", "cds_start_pos", "cds_end_pos", "protein_start", "protein_end")
+COMPACT = ("event_index", "transcript_index", "consequence_mask", "consequence", "impact_code", "impact", *kernel.PLACES)
 RICH = (*COMPACT, "region", "strand", "exon", "exon_count", "ref_codons", "alt_codons", "ref_peptide", "alt_peptide", "nmd_prediction", "nmd_escape")
-HGVS = ("transcript_hgvs", "protein_hgvs", "transcript_hgvs_status", "transcript_hgvs_reason")
-
-
-def _on_reference(df: DataFrame) -> DataFrame:
-    """Introns once for each pair, exons in ascending order."""
-    return df.withColumn("_gaps", introns(F.col("exons")))
+#: What kernel.evaluate reads of a pair.
+READ = {
+    "small": ("feature_start1", "feature_end1", "reference", "alternate", "reference_difference", "alternate_difference", "length_difference", "edit_start0", "edit_end0", "cds_length", "codon_table", "cds_sequence", "post_cds_sequence"),
+    "structural": ("feature_start1", "feature_end1", "structural_type", "copy_change"),
+    "breakend": ("feature_start1", "feature_end1"),
+}
+SPAN = ("transcript_start", "transcript_end", "strand", "transcript_flags", "cds_start", "cds_end", "exons")
 
 
-def _region_text(r: dict[str, Column]) -> Column:
-    order = (("upstream", "upstream"), ("downstream", "downstream"), ("intron", "intron"), ("cds", "coding"), ("utr5", "utr"), ("utr3", "utr"))
-    return F.concat_ws(",", F.array_distinct(F.array_compact(F.array(*(F.when(r[k], F.lit(t)) for k, t in order), F.when(~r["coding"] & r["exon"], F.lit("non_coding_exon"))))))
-
-
-def _facts(df: DataFrame) -> tuple[dict, dict]:
-    s, e = F.col("feature_start1"), F.col("feature_end1")
-    r = regions(s, e, F.col("transcript_start"), F.col("transcript_end"), F.col("strand"), F.col("cds_start"), F.col("cds_end"), F.col("exons"), F.col("_gaps"))
-    return r, splice(s, e, F.col("strand"), F.col("_gaps"))
-
-
-def _held(df: DataFrame, prefix: str, facts: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
-    """Facts as columns of their own, so that each is computed once."""
-    df = df.withColumns({f"{prefix}{k}": v for k, v in facts.items()})
-    return df, {k: F.col(f"{prefix}{k}") for k in facts}
-
-
-def pairs(events: DataFrame, transcripts: DataFrame, upstream: int, downstream: int) -> DataFrame:
+def pairs(events: DataFrame, transcripts: DataFrame, upstream: int, downstream: int, model: tuple[str, ...] = MODEL) -> DataFrame:
     """Events and transcripts of a region within the larger distance, less those beyond the distance of their own side."""
     halo = max(upstream, downstream)
-    got = overlap_join(events, transcripts.select(*MODEL), "seq_region", ("feature_start1", "feature_end1"), ("transcript_start", "transcript_end"), halo)
+    got = overlap_join(events, transcripts.select(*model), "seq_region", ("feature_start1", "feature_end1"), ("transcript_start", "transcript_end"), halo)
     left, right = F.col("transcript_start") - F.greatest("feature_start1", "feature_end1"), F.least("feature_start1", "feature_end1") - F.col("transcript_end")
     fwd = F.col("strand") >= 0
     up, down = F.when(fwd, left).otherwise(right), F.when(fwd, right).otherwise(left)
     return got.filter((up <= upstream) & (down <= downstream))
 
 
-def small_variants(events: DataFrame, transcripts: DataFrame, upstream: int = 5000, downstream: int = 5000) -> DataFrame:
-    """All columns of RICH and HGVS for literal alleles, one row for each event and transcript in reach."""
-    got = _on_reference(pairs(allele_geometry(events), transcripts, upstream, downstream))
-    got = delta(project(got))
-    r, w = _facts(got)
-    got, r = _held(got, "_r_", r)
-    got, w = _held(got, "_w_", w)
-    d = {k: F.col(k) for k in (*NONE, "delta")}
-    # the class of the feature's change rules out predicates of another class
-    changed = F.col("length_difference") != 0
-    d["missense"] = d["missense"] & ~changed
-    d["frameshift"] = d["frameshift"] & changed
-    mask = consequence_mask(r, w, d, None, F.col("length_difference") < 0)
-    got = got.withColumn("consequence_mask", mask)
-    got = got.withColumns(dict(zip(("nmd_prediction", "nmd_escape"), nmd(F.col("consequence_mask"), F.col("feature_end1"), F.col("cds_end_pos")), strict=True)))
-    got = got.withColumns({"region": _region_text(r), "exon": exon_rank(F.col("feature_end1")), "exon_count": F.size("exons")})
-    return _named(hgvs(got))
+def evaluated(df: DataFrame, columns: tuple[str, ...], family: str) -> DataFrame:
+    """Those columns of each pair: facts by the kernel, others as they stand in df. No rule of the optimizer looks through it."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    schema = T.StructType([T.StructField(c, T._parse_datatype_string(kernel.TYPES[c]) if c in kernel.TYPES else types[c]) for c in columns])
+    read = list(dict.fromkeys([*SPAN, *READ[family], *(c for c in ("window", "window_start") if c in types), *(c for c in columns if c not in kernel.TYPES)]))
+    want = list(columns)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield kernel.evaluate(batch, want, family)
+
+    return df.select(*read).mapInArrow(run, schema)
 
-def _named(df: DataFrame) -> DataFrame:
-    m = F.col("consequence_mask")
-    return df.withColumns({"consequence": consequence(m), "impact_code": impact_code(m), "impact": impact(m)})
 
+def reference_around(events: DataFrame, chunks: DataFrame) -> DataFrame:
+    """events with window, window_start: reference bases of the edit, and REACH on either side where it may move along a repeat.
 
-def three_letters(aa: Column) -> Column:
-    names = F.create_map(*(F.lit(x) for kv in RESIDUES.items() for x in kv))
-    return F.try_element_at(names, aa)
+    chunks: seq_region, start (0-based), end, seq, without overlaps. The window ends where chunks end; it is null where they
+    have a gap or don't hold the edit.
+    """
+    moves = F.col("variant_kind").isin("insertion", "deletion")
+    low, high = F.least("feature_start1", "feature_end1"), F.greatest("feature_start1", "feature_end1")
+    halo = F.when(moves, F.lit(REACH)).otherwise(0)
+    sites = events.select("event_index", "seq_region", low.alias("_low"), high.alias("_high"), (low - halo).alias("_from"), (high + halo).alias("_to"))
+    pieces = overlap_join(sites, chunks.select("seq_region", (F.col("start") + 1).cast("long").alias("_ps"), F.col("end").cast("long").alias("_pe"), "seq"), "seq_region", ("_from", "_to"), ("_ps", "_pe"))
+    a, b = F.greatest("_from", "_ps"), F.least("_to", "_pe")
+    part = F.struct(a.alias("at"), F.substr("seq", (a - F.col("_ps") + 1).cast("int"), (b - a + 1).cast("int")).alias("x"))
+    got = pieces.groupBy("event_index", "_low", "_high").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.min(a).alias("window_start"), F.max(b).alias("_last"))
+    text = F.upper(F.expr("array_join(transform(parts, p -> p.x), '')"))
+    whole = (F.length(text) == F.col("_last") - F.col("window_start") + 1) & (F.col("window_start") <= F.col("_low")) & (F.col("_last") >= F.col("_high"))
+    return events.join(got.select("event_index", F.when(whole, text).alias("window"), "window_start"), "event_index", "left")
+
+
+def small_variants(events: DataFrame, transcripts: DataFrame, upstream: int = 5000, downstream: int = 5000, columns: tuple[str, ...] = (*RICH, *HGVS), chunks: DataFrame | None = None) -> DataFrame:
+    """columns for literal alleles, one row for each event and transcript in reach: facts of the kernel, or columns of either side.
+
+    A CDS goes along only with events on its span. With reference chunks HGVS covers introns, UTRs, insertions and deletions.
+    """
+    ev = allele_geometry(events)
+    if chunks is not None and set(columns) & set(HGVS):
+        ev = reference_around(ev, chunks)
+    got = pairs(ev, transcripts, upstream, downstream)
+    on = (F.greatest("feature_start1", "feature_end1") >= F.col("cds_start")) & (F.least("feature_start1", "feature_end1") <= F.col("cds_end"))
+    got = got.withColumns({"cds_length": F.length("cds_sequence"), "post_cds_sequence": F.when(on, F.col("post_cds_sequence")), "cds_sequence": F.when(on, F.col("cds_sequence"))})
+    if "window" in got.columns:
+        near = (F.greatest("feature_start1", "feature_end1") >= F.col("transcript_start")) & (F.least("feature_start1", "feature_end1") <= F.col("transcript_end"))
+        got = got.withColumn("window", F.when(near, F.col("window")))
+    return evaluated(got, columns, "small")
 
 
-def hgvs(df: DataFrame) -> DataFrame:
-    """df with the columns of HGVS: substitutions in the CDS; what needs flanking sequence says so."""
-    snv = F.col("delta") & (F.col("variant_kind") == "snv") & (F.length("reference") == 1)
-    within = F.col("_r_within")
-    base = lambda c: F.when(F.col("strand") >= 0, F.upper(F.col(c))).otherwise(F.translate(F.upper(F.col(c)), "ACGT", "TGCA"))
-    dna = F.when(snv, F.concat(F.lit("c."), F.col("cds_start_pos").cast("string"), base("reference"), F.lit(">"), base("alternate")))
-    ref, alt, at = three_letters(F.col("ref_peptide")), three_letters(F.col("alt_peptide")), F.col("protein_start").cast("string")
-    protein = F.when(snv, F.when(F.col("start_lost"), F.concat(F.lit("p."), ref, at, F.lit("?"))).when(F.col("ref_peptide") == F.col("alt_peptide"), F.concat(F.lit("p."), ref, at, F.lit("="))).when(F.col("ref_peptide") != "*", F.concat(F.lit("p."), ref, at, alt)))
-    status = F.when(snv, "ok").when(within, "unresolved").otherwise("not_applicable")
-    return df.withColumns({"transcript_hgvs": dna, "protein_hgvs": protein, "transcript_hgvs_status": status, "transcript_hgvs_reason": F.when(within & ~snv, "missing_reference")})
+def _named(df: DataFrame) -> DataFrame:
+    m = F.col("consequence_mask")
+    return df.withColumns({"consequence": consequence(m), "impact_code": impact_code(m), "impact": impact(m)})
 
 
 def structural_variants(events: DataFrame, transcripts: DataFrame, upstream: int = 5000, downstream: int = 5000) -> DataFrame:
     """COMPACT columns for structural events (position, end_position, structural_type, copy_change)."""
     ev = events.withColumns({"feature_start1": F.col("position").cast("long"), "feature_end1": F.coalesce("end_position", "position").cast("long")})
-    got = _on_reference(pairs(ev, transcripts, upstream, downstream))
-    r, w = _facts(got)
-    got, r = _held(got, "_r_", r)
-    got, w = _held(got, "_w_", w)
-    sv = structural(F.col("feature_start1"), F.col("feature_end1"), F.col("structural_type"), F.col("copy_change"), r)
-    none = F.lit(None).cast("long")
-    got = got.withColumn("consequence_mask", consequence_mask(r, w, None, sv, F.lit(False)))
-    return _named(got.withColumns(dict.fromkeys(COMPACT[6:], none)))
+    return evaluated(pairs(ev, transcripts, upstream, downstream, ("transcript_index", "seq_region", *SPAN)), COMPACT, "structural")
 
 
 def breakends(events: DataFrame, transcripts: DataFrame, distance: int = 5000) -> DataFrame:
@@ -112,16 +109,10 @@ def breakends(events: DataFrame, transcripts: DataFrame, distance: int = 5000) -
     local = events.select("event_index", F.col("seq_region"), F.col("position").cast("long").alias("feature_start1"), F.lit(0).alias("side"))
     mate = events.filter("mate_position is not null").select("event_index", F.col("mate_seq_region").alias("seq_region"), F.col("mate_position").cast("long").alias("feature_start1"), F.lit(1).alias("side"))
     points = local.unionByName(mate).withColumn("feature_end1", F.col("feature_start1"))
-    got = _on_reference(pairs(points, transcripts, distance, distance))
-    r, w = _facts(got)
-    got, r = _held(got, "_r_", r)
-    got, w = _held(got, "_w_", w)
-    no = F.lit(False)
-    sv = {"truncation": r["within"], "ablation": no, "amplification": no, "elongation": no, "start_lost": no, "stop_lost": no, "frameshift": no, "inframe_deletion": no}
-    got = got.withColumn("m", consequence_mask(r, w, None, sv, no))
-    out = got.groupBy("event_index", "transcript_index").agg(F.bit_or("m").alias("consequence_mask"))
-    none = F.lit(None).cast("long")
-    return _named(out.withColumns(dict.fromkeys(COMPACT[6:], none)))
+    got = pairs(points, transcripts, distance, distance, ("transcript_index", "seq_region", *SPAN))
+    masks = evaluated(got, ("event_index", "transcript_index", "consequence_mask"), "breakend")
+    out = masks.groupBy("event_index", "transcript_index").agg(F.bit_or("consequence_mask").alias("consequence_mask"))
+    return _named(out.withColumns(dict.fromkeys(COMPACT[6:], F.lit(None).cast("long")))).select(*COMPACT)
 
 
 def family(events: DataFrame) -> Column:
@@ -132,31 +123,33 @@ def family(events: DataFrame) -> Column:
     return F.when(alt.isin("<NON_REF>", "*", "."), None).when(mate.isNotNull() | alt.rlike(r"[\[\]]"), "breakend").when(kind.isNotNull() | alt.startswith("<"), "structural").otherwise("small")
 
 
-def validate(events: DataFrame) -> None:
-    """Raise the first error of the events relation by code: null key, bad position, missing allele, reversed span, half a mate."""
+def checked(events: DataFrame) -> DataFrame:
+    """events, where the first row at fault raises an error when it is read: null key, bad position, missing allele, reversed
+    span, half a mate."""
     bad = (
-        (1, F.col("event_index").isNull() | F.col("seq_region").isNull(), "event_index and seq_region must not be null"),
-        (2, F.col("position").isNull() | (F.col("position") < 1) | (F.col("position") > 4_294_967_294), "position must be a positive 32-bit coordinate"),
-        (3, F.col("alternate").isNull() | F.col("reference").isNull(), "reference and alternate must not be null"),
-        (4, (F.col("end_position") < F.col("position")) if "end_position" in events.columns else F.lit(False), "end_position must not precede position"),
-        (5, (F.col("mate_position").isNull() != F.col("mate_seq_region").isNull()) if "mate_position" in events.columns else F.lit(False), "mate_seq_region and mate_position go together"),
+        (F.col("event_index").isNull() | F.col("seq_region").isNull(), "event_index and seq_region must not be null"),
+        (F.col("position").isNull() | (F.col("position") < 1) | (F.col("position") > 4_294_967_294), "position must be a positive 32-bit coordinate"),
+        (F.col("alternate").isNull() | F.col("reference").isNull(), "reference and alternate must not be null"),
+        ((F.col("end_position") < F.col("position")) if "end_position" in events.columns else F.lit(False), "end_position must not precede position"),
+        ((F.col("mate_position").isNull() != F.col("mate_seq_region").isNull()) if "mate_position" in events.columns else F.lit(False), "mate_seq_region and mate_position go together"),
     )
-    code = F.coalesce(*(F.when(c, F.lit(k)) for k, c, _ in bad))
-    found = events.agg(F.min(code)).first()[0]
-    if found is not None:
-        raise ValueError(next(m for k, _, m in bad if k == found))
+    why = F.coalesce(*(F.when(c, F.lit(m)) for c, m in bad))
+    # the key of the joins that follow, so it is read in every plan; null keys would be dropped there without a word
+    return events.withColumn("seq_region", F.when(why.isNotNull(), F.raise_error(why).cast(events.schema["seq_region"].dataType)).otherwise(F.col("seq_region")))
 
 
-def annotate(events: DataFrame, transcripts: DataFrame, *, rich: bool = False, hgvs: bool = False, upstream_distance: int = 5000, downstream_distance: int = 5000) -> DataFrame:
-    """Events of any family to one row for each transcript in reach; only the branches that the schema can hold are planned."""
+def annotate(events: DataFrame, transcripts: DataFrame, *, rich: bool = False, hgvs: bool = False, chunks: DataFrame | None = None, upstream_distance: int = 5000, downstream_distance: int = 5000) -> DataFrame:
+    """Events of any family to one row for each transcript in reach; only the branches that the schema can hold are planned.
+
+    chunks: reference bases, for HGVS beyond substitutions in the CDS.
+    """
     if upstream_distance < 0 or downstream_distance < 0:
         raise ValueError("distances must not be negative")
-    validate(events)
     columns = (RICH if rich else COMPACT) + (HGVS if hgvs else ())
-    events = events.withColumn("_family", family(events))
+    events = checked(events).withColumn("_family", family(events))
     # null checks that a join derives may run before the filter: other families' alleles must not reach allele_geometry's errors
     small = events.filter("_family = 'small'").withColumns({c: F.when(F.col("_family") == "small", F.col(c)) for c in ("reference", "alternate")})
-    out = small_variants(small, transcripts, upstream_distance, downstream_distance).select(*columns)
+    out = small_variants(small, transcripts, upstream_distance, downstream_distance, columns, chunks)
     if "structural_type" in events.columns:
         out = out.unionByName(structural_variants(events.filter("_family = 'structural'"), transcripts, upstream_distance, downstream_distance).select(*COMPACT), allowMissingColumns=True)
     if "mate_position" in events.columns:
@@ -186,7 +179,7 @@ def coding_transcripts(events: DataFrame, transcripts: DataFrame) -> DataFrame:
     """(event_index, transcripts): ascending indexes of coding transcripts whose CDS a literal allele touches; short gaps within it count."""
     ev = allele_geometry(events).select("event_index", "seq_region", "feature_start1", "feature_end1")
     tx = transcripts.filter("cds_start is not null").select("seq_region", "transcript_index", "cds_start", "cds_end", "exons")
-    got = _on_reference(overlap_join(ev, tx, "seq_region", ("feature_start1", "feature_end1"), ("cds_start", "cds_end")))
+    got = overlap_join(ev, tx, "seq_region", ("feature_start1", "feature_end1"), ("cds_start", "cds_end")).withColumn("_gaps", introns(F.col("exons")))
     s, e = F.col("feature_start1"), F.col("feature_end1")
     on = lambda a, b: (e >= F.greatest(a, F.col("cds_start"))) & (s <= F.least(b, F.col("cds_end")))
     hit = F.exists("exons", lambda x: on(x["exon_start"], x["exon_end"])) | F.exists("_gaps", lambda g: (g["ie"] - g["is"] < 13) & on(g["is"], g["ie"]))

@@ -1,13 +1,11 @@
-"""Where an event lies on a transcript: regions, splice windows, coordinates."""
+"""Where an event lies on a transcript or a feature, as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Gaps between exons of at most this length count as part of the transcript.
-SHORT_GAP = 13
-
+from varilume.functions.vocab import rules
 
 def meets(s: Column, e: Column, a: Column, b: Column) -> Column:
     """Closed intervals overlap; a reversed one (interbase) only where both of its neighbours lie within."""
@@ -20,59 +18,18 @@ def introns(exons: Column) -> Column:
     return F.filter(pairs, lambda g: g["ie"] >= g["is"])
 
 
-def regions(s: Column, e: Column, ts: Column, te: Column, strand: Column, cs: Column, ce: Column, exons: Column, gaps: Column) -> dict[str, Column]:
-    """Facts of placement: upstream, downstream, within, complete, exon, cds, utr5, utr3, intron, short_gap.
-
-    cs, ce: genomic span of the coding part, null without one.
-    """
-    fwd, coding = strand >= 0, cs.isNotNull()
-    left, right = e < ts, s > te
-    within = ~left & ~right
-    exon = within & F.exists(exons, lambda x: meets(s, e, x["exon_start"], x["exon_end"]))
-    short = within & F.exists(gaps, lambda g: (g["ie"] - g["is"] < SHORT_GAP) & meets(s, e, g["is"], g["ie"]))
-    long_ = within & F.exists(gaps, lambda g: (g["ie"] - g["is"] >= SHORT_GAP) & meets(s, e, g["is"], g["ie"]))
-    on_exon = lambda test: F.exists(exons, lambda x: meets(s, e, x["exon_start"], x["exon_end"]) & test(F.greatest(s, x["exon_start"]), F.least(e, x["exon_end"])))
-    cds = coding & within & (on_exon(lambda a, b: meets(a, b, cs, ce)) | (short & meets(s, e, cs, ce)))
-    cdna = exon | short
-    before = coding & cdna & (e >= ts) & (s <= cs - 1)
-    after = coding & cdna & (e >= ce + 1) & (s <= te)
-    return {
-        "upstream": F.when(fwd, left).otherwise(right), "downstream": F.when(fwd, right).otherwise(left),
-        "within": within, "complete": within & (s <= ts) & (e >= te), "contained": within & (s >= ts) & (e <= te),
-        "exon": exon, "cdna": cdna, "cds": F.coalesce(cds, F.lit(False)), "coding": coding,
-        "utr5": F.coalesce(F.when(fwd, before).otherwise(after), F.lit(False)), "utr3": F.coalesce(F.when(fwd, after).otherwise(before), F.lit(False)),
-        "intron": within & (long_ | ~cdna | (short & ~coding)), "short_gap": short,
-    }
-
-
-def splice(s: Column, e: Column, strand: Column, gaps: Column, exonic: int = 3, intronic: int = 8) -> dict[str, Column]:
-    """Facts of the introns' windows: donor, acceptor, fifth, donor_region, ppt, region, intronic, short_gap.
-
-    Windows stand at both ends of each intron; the strand says which end is the donor. An overlapped short gap
-    has no windows. Interbase sites also count at the outer edges of the region and of the intron's inner part.
-    """
-    fwd, site = strand >= 0, s == e + 1
-    lo, hi = F.least(s, e), F.greatest(s, e)
-    short = lambda g: (g["ie"] - g["is"] < SHORT_GAP) & meets(s, e, g["is"], g["ie"])
-    some = lambda test: F.exists(gaps, lambda g: ~short(g) & test(g["is"], g["ie"]))
-    first, last = some(lambda a, b: meets(s, e, a, a + 1)), some(lambda a, b: meets(s, e, b - 1, b))
-    fifth = F.when(fwd, some(lambda a, b: meets(s, e, a + 4, a + 4))).otherwise(some(lambda a, b: meets(s, e, b - 4, b - 4)))
-    donor_region = F.when(fwd, some(lambda a, b: meets(s, e, a + 2, a + 5))).otherwise(some(lambda a, b: meets(s, e, b - 5, b - 2)))
-    ppt = F.when(fwd, some(lambda a, b: meets(lo, hi, b - 16, b - 2))).otherwise(some(lambda a, b: meets(lo, hi, a + 2, a + 16)))
-    reach = intronic - 1
-    edges = lambda a, b: site & ((s == a) | (e == b) | (s == a + 2) | (e == b - 2))
-    near = some(lambda a, b: meets(s, e, a + 2, a + reach) | meets(s, e, b - reach, b - 2) | meets(s, e, a - exonic, a - 1) | meets(s, e, b + 1, b + exonic) | edges(a, b))
-    donor, acceptor = F.when(fwd, first).otherwise(last), F.when(fwd, last).otherwise(first)
-    donor_region = donor_region & ~fifth
-    return {
-        "donor": donor, "acceptor": acceptor, "fifth": fifth, "donor_region": donor_region, "ppt": ppt,
-        "region": near & ~donor & ~acceptor & ~donor_region & ~fifth,
-        "intronic": some(lambda a, b: meets(s, e, a + 2, b - 2) | (site & ((s == a + 2) | (e == b - 2)))),
-        "short_gap": F.exists(gaps, short),
-    }
-
-
 def cdna_position(pos: Column, strand: Column, exons: Column) -> Column:
     """Place of a genomic position in the spliced transcript, from 1; null in introns and outside."""
     x = F.get(F.filter(exons, lambda x: (pos >= x["exon_start"]) & (pos <= x["exon_end"])), F.lit(0))
     return F.when(strand >= 0, x["exon_cdna_start"] + (pos - x["exon_start"])).otherwise(x["exon_cdna_start"] + (x["exon_end"] - pos))
+
+
+def feature_mask(s: Column, e: Column, a: Column, b: Column, kind: Column, deletion: Column, gain: Column) -> Column:
+    """Terms of a regulatory region (kind 1) or motif (kind 2) of span a..b."""
+    within, complete, motif = meets(s, e, a, b), (s <= a) & (e >= b), kind == 2
+    return rules(
+        {
+            "TFBS_ablation": motif & complete & deletion, "TFBS_amplification": motif & complete & gain, "TF_binding_site_variant": motif & within,
+            "regulatory_region_ablation": ~motif & complete & deletion, "regulatory_region_amplification": ~motif & complete & gain, "regulatory_region_variant": ~motif & within,
+        }
+    )

@@ -54,6 +54,13 @@ def allele_geometry(df: DataFrame, position: str = "position", reference: str =
 
     alleles = F.struct(pos.alias("pos"), ref.alias("r"), alt.alias("a"))
     geometry = let(alleles, lambda x: let(F.struct(x["pos"].alias("pos"), x["r"].alias("r"), x["a"].alias("a"), common_prefix(x["r"], x["a"]).alias("p")), trimmed))
+    # one base for another, by far the most: nothing to trim, so the taking apart is not entered
+    fields = {
+        "variant_kind": F.lit("snv"), "start1": pos, "end1": pos, "feature_start1": pos, "feature_end1": pos, "edit_start0": pos - 1, "edit_end0": pos, "prefix_length": F.lit(0), "suffix_length": F.lit(0),
+        "reference_difference": ref, "alternate_difference": alt, "anchor": F.lit(None).cast("string"), "length_difference": F.lit(0), "boundary0": F.lit(None).cast("bigint"),
+    }
+    short = F.struct(*(c.alias(k) for k, c in fields.items()))
+    geometry = F.when((F.length(reference) == 1) & (F.length(alternate) == 1), short).otherwise(geometry)
     return df.withColumn("_g", geometry).select(*df.columns, "_g.*")
 
 
@@ -182,7 +189,7 @@ def dense_index(df: DataFrame, name: str, *order: Column, start: int = 1) -> Dat
 
     A sort deals rows by range; each row's number is its place in its partition plus the rows of the partitions before.
     """
-    from varilume.plans.session import reliable
+    from varilume.session import reliable
 
     place = F.monotonically_increasing_id()
     rows = reliable(df.orderBy(*order).select("*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))

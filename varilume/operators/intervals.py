@@ -17,26 +17,36 @@ def _levels(start: Column, end: Column, width: int) -> Column:
     return F.when(span < MOST_BINS, 0).when(span < MOST_BINS * 64, 1).when(span < MOST_BINS * 4096, 2).otherwise(3)
 
 
+def _present(df: DataFrame, level: Column) -> list[int]:
+    """Levels that rows of df live on: one small aggregate over the spans alone. A stream may hold all."""
+    if df.isStreaming:
+        return [0, 1, 2, 3]
+    return sorted(df.agg(F.collect_set(level)).first()[0])
+
+
 def overlap_join(left: DataFrame, right: DataFrame, region: str, left_span: tuple[str, str], right_span: tuple[str, str], halo: int = 0, width: int = BIN, how: str = "inner") -> DataFrame:
     """Pairs of the same region whose closed intervals overlap, the left one widened by halo.
 
     Both sides are dealt by (region, level, bin), an equi-join; the overlap is checked on each pair, and a pair counts in the
     first bin that both meet, so that none comes twice. Rows that span many bins use bins of 64, 4096.. times the
-    width; rows of the other side stand at each level. Column names of the two sides must differ but for region.
+    width. A left row stands at its own level, and at those coarser ones alone on which right rows live, so that the left side,
+    meant to be the large one, isn't copied where the right one is short; a right row stands at all coarser levels. Column names of the two sides must differ but for region.
     Spans may be reversed by one (interbase sites). Null regions or ends pair with nothing.
     """
     ls, le = (F.least(F.col(left_span[0]), F.col(left_span[1])) - halo).cast("long"), (F.greatest(F.col(left_span[0]), F.col(left_span[1])) + halo).cast("long")
-    rs, re_ = F.col(right_span[0]).cast("long"), F.col(right_span[1]).cast("long")
+    rs, re_ = F.least(F.col(right_span[0]), F.col(right_span[1])).cast("long"), F.greatest(F.col(right_span[0]), F.col(right_span[1])).cast("long")
+    right_levels = _present(right, _levels(rs, re_, width))
     lefts = left.withColumns({"_ls": ls, "_le": le}).withColumn("_lv", _levels(F.col("_ls"), F.col("_le"), width))
     rights = right.withColumns({"_rs": rs, "_re": re_}).withColumn("_rv", _levels(F.col("_rs"), F.col("_re"), width))
     size = lambda level: F.lit(width).cast("long") * F.pow(F.lit(64), level).cast("long")
     # a pair meets at the coarser of its two levels, where at least one of them is at home: tag 0 pairs a left one
     # that is with any right one, tag 1 a left one that isn't with a right one that is
-    up = lambda own: F.explode(F.sequence(own, F.lit(3)))
-    lefts = lefts.withColumn("_lvl", up(F.col("_lv"))).withColumns({"_w": size(F.col("_lvl")), "_tag": (F.col("_lvl") != F.col("_lv")).cast("int")})
+    up = lambda own, others: F.explode(F.concat(F.array(own), F.filter(F.array(*(F.lit(x) for x in others)).cast("array<int>"), lambda x: x > own)))
+    lefts = lefts.withColumn("_lvl", up(F.col("_lv"), right_levels)).withColumns({"_w": size(F.col("_lvl")), "_tag": (F.col("_lvl") != F.col("_lv")).cast("int")})
     lefts = lefts.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_ls") / F.col("_w")), F.floor(F.col("_le") / F.col("_w")))))
-    rights = rights.withColumn("_rlvl", up(F.col("_rv"))).withColumn("_rw", size(F.col("_rlvl")))
-    rights = rights.withColumn("_rtag", F.explode(F.when(F.col("_rlvl") == F.col("_rv"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    rights = rights.withColumn("_rlvl", up(F.col("_rv"), range(4))).withColumn("_rw", size(F.col("_rlvl")))
+    # tag 1 serves left rows of lower levels alone
+    rights = rights.withColumn("_rtag", F.explode(F.when((F.col("_rlvl") == F.col("_rv")) & (F.col("_rv") > 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     rights = rights.withColumn("_rbin", F.explode(F.sequence(F.floor(F.col("_rs") / F.col("_rw")), F.floor(F.col("_re") / F.col("_rw"))))).withColumnRenamed(region, "_region")
     first = F.floor(F.greatest(F.col("_ls"), F.col("_rs")) / F.col("_w"))
     on = (F.col(region) == F.col("_region")) & (F.col("_lvl") == F.col("_rlvl")) & (F.col("_tag") == F.col("_rtag")) & (F.col("_bin") == F.col("_rbin")) & (F.col("_bin") == first) & (F.col("_rs") <= F.col("_le")) & (F.col("_re") >= F.col("_ls"))

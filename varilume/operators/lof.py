@@ -9,9 +9,11 @@ from varilume.functions.dna import revcomp
 from varilume.functions.vocab import FLAG, has
 from varilume.operators.classify import introns
 from varilume.operators.intervals import overlap_join
-from varilume.plans.session import reliable
+from varilume.session import reliable
 
 END_TRUNC_REACH, MIN_INTRON = 50, 15
+#: Columns of pairs that lof reads.
+READ = ("event_index", "transcript_index", "seq_region", "consequence_mask", "feature_start1", "feature_end1", "strand", "transcript_flags", "exons", "cds_start", "cds_end", "cds_end_pos", "variant_kind", "reference_difference", "alternate_difference", "exon", "exon_count")
 
 
 def reference_windows(sites: DataFrame, chunks: DataFrame, start: str, end: str) -> DataFrame:
@@ -30,7 +32,7 @@ def reference_windows(sites: DataFrame, chunks: DataFrame, start: str, end: str)
 def lof(pairs: DataFrame, chunks: DataFrame | None = None, min_intron_size: int = MIN_INTRON, check_complete_cds: bool = False) -> DataFrame:
     """(event_index, transcript_index, lof, lof_filter, lof_flags, lof_unchecked) of pairs of protein-coding transcripts.
 
-    pairs: what small_variants returns. HC needs a truncating or splice-site term and no filter; other rows have null.
+    pairs: the columns READ of small_variants. HC needs a truncating or splice-site term and no filter; other rows have null.
     Distances to the stop are summed over the exons that follow, one less than each length, and END_TRUNC holds where
     the sum less the coding part of the stop's exon is at most 50. Checks that lack data are named, never guessed.
     """

@@ -8,8 +8,6 @@ from varilume.functions.vocab import GENETIC_CODES, SO_TERMS, consequence, impac
 from varilume.operators import annotate as A
 from varilume.operators import intervals
 from varilume.operators import lof as L
-from varilume.operators.classify import introns, regions, splice
-from varilume.operators.coding import project
 from varilume.operators.events import allele_geometry
 from varilume.plans import fixtures as X
 
@@ -21,9 +19,10 @@ def _snv(spark, sf_dir):
     return X.events(spark, sf_dir).filter("form < 7")
 
 
-def _pairs(spark, sf_dir):
-    got = A.pairs(allele_geometry(_snv(spark, sf_dir)), X.transcripts(spark, sf_dir), K, K)
-    return got.withColumn("_gaps", introns(F.col("exons")))
+def _facts(spark, sf_dir, **columns):
+    """Kernel columns of all pairs with a substitution, under the names given."""
+    got = A.small_variants(_snv(spark, sf_dir), X.transcripts(spark, sf_dir), K, K, (*PAIR, *columns.values()))
+    return got.select(*PAIR, *(F.col(c).alias(n) for n, c in columns.items()))
 
 
 def interval_join(spark, sf_dir):
@@ -45,20 +44,15 @@ def asof_interval(spark, sf_dir):
 
 
 def region_class(spark, sf_dir):
-    df = _pairs(spark, sf_dir)
-    s, e = F.col("feature_start1"), F.col("feature_end1")
-    r = regions(s, e, F.col("transcript_start"), F.col("transcript_end"), F.col("strand"), F.col("cds_start"), F.col("cds_end"), F.col("exons"), F.col("_gaps"))
-    return df.select(*PAIR, *(r[k].alias(k) for k in ("upstream", "downstream", "exon", "cds", "utr5", "utr3", "intron")))
+    return _facts(spark, sf_dir, upstream="upstream", downstream="downstream", exon="exon_hit", cds="cds", utr5="utr5", utr3="utr3", intron="intron")
 
 
 def splice_class(spark, sf_dir):
-    df = _pairs(spark, sf_dir)
-    w = splice(F.col("feature_start1"), F.col("feature_end1"), F.col("strand"), F.col("_gaps"))
-    return df.select(*PAIR, *(w[k].alias(k) for k in ("donor", "acceptor", "fifth", "donor_region", "ppt", "region", "intronic")))
+    return _facts(spark, sf_dir, donor="donor", acceptor="acceptor", fifth="fifth", donor_region="donor_region", ppt="ppt", region="splice_near", intronic="intronic")
 
 
 def projection(spark, sf_dir):
-    return project(_pairs(spark, sf_dir)).select(*PAIR, "cdna_start", F.col("cds_start_pos").alias("cds_pos"), "protein_start")
+    return _facts(spark, sf_dir, cdna_start="cdna_start", cds_pos="cds_start_pos", protein_start="protein_start")
 
 
 def annotate_snv(spark, sf_dir):
@@ -79,8 +73,9 @@ def annotate_compact(spark, sf_dir):
 
 def indel_frame(spark, sf_dir):
     """Insertions and deletions wholly inside an exon's coding part, away from both ends: whether the frame shifts."""
-    got = A.small_variants(X.events(spark, sf_dir).filter("form >= 8"), X.transcripts(spark, sf_dir), K, K)
-    inner = got.filter("cds_start_pos > 3 and cds_end_pos > 3 and cds_end_pos + 6 < length(cds_sequence) and cds_start_pos + 6 < length(cds_sequence)")
+    columns = (*PAIR, "cds_start_pos", "cds_end_pos", "cds_length", "ref_peptide", "alt_peptide", "frameshift", "length_difference")
+    got = A.small_variants(X.events(spark, sf_dir).filter("form >= 8"), X.transcripts(spark, sf_dir), K, K, columns)
+    inner = got.filter("cds_start_pos > 3 and cds_end_pos > 3 and cds_end_pos + 6 < cds_length and cds_start_pos + 6 < cds_length")
     return inner.filter("instr(ref_peptide, '*') = 0 and instr(alt_peptide, '*') = 0").select(*PAIR, "frameshift", F.col("length_difference").cast("long").alias("length_difference"))
 
 
@@ -138,9 +133,7 @@ def impact_text(spark, sf_dir):
 def lof(spark, sf_dir):
     """Loss-of-function calls of substitutions, with splice bases from reference chunks."""
     tx = X.transcripts(spark, sf_dir)
-    letters = f"array_join(transform(sequence(cast(start as bigint) + 1, cast(end as bigint)), p -> {X.base('p', 'seq_region')}), '')"
-    chunks = tx.select("seq_region").distinct().selectExpr("seq_region", "explode(sequence(0, 19900, 100)) AS start").selectExpr("seq_region", "start", "start + 100 AS end").selectExpr("*", f"{letters} AS seq")
-    return L.lof(A.small_variants(_snv(spark, sf_dir), tx, K, K), chunks)
+    return L.lof(A.small_variants(_snv(spark, sf_dir), tx, K, K, L.READ), X.chunks(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (interval_join, interval_union, asof_interval, region_class, splice_class, projection, annotate_snv, annotate_rich, annotate_compact, indel_frame, coverage_intergenic, coding_transcripts, interval_features, sv_consequence, breakend_candidates, sv_annotate, breakend_annotate, lof, rule_program, impact_text)}

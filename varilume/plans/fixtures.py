@@ -36,7 +36,7 @@ ALTERNATE = f"case when form = 9 then {base(_P, _R)} when form = 8 then concat({
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's transcripts: one to three exons of one length, coding for three of four."""
-    t = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*_split(SHAPE)).selectExpr("*", *_split(ENDS)).selectExpr("*", *_split(SPAN))
+    t = _table(spark, sf_dir, "part").selectExpr(*_split(SHAPE)).selectExpr("*", *_split(ENDS)).selectExpr("*", *_split(SPAN))
     letter = f"case when strand = 1 then {base(genomic('c'), 'seq_region')} else translate({base(genomic('c'), 'seq_region')}, 'ACGT', 'TGCA') end"
     return t.selectExpr(
         "*", f"case when coding then array_join(transform(sequence(11, 10 + cds_length), c -> {letter}), '') end AS cds_sequence", "cast(1 AS int) AS codon_table",
@@ -48,20 +48,20 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alleles on the same regions: mostly substitutions, with some of two bases, insertions and deletions."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_split(EVENT))
+    e = _table(spark, sf_dir, "events").selectExpr(*_split(EVENT))
     return e.selectExpr("event_index", "seq_region", "position", f"{REFERENCE} AS reference", f"{ALTERNATE} AS alternate", "form")
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regulatory regions and motifs."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*_split(FEATURE))
+    return _table(spark, sf_dir, "part").selectExpr(*_split(FEATURE))
 
 
 FEATURE = "p_partkey AS regulation_feature_index, cast(p_partkey % 5 + (p_partkey - p_partkey % 2000) * 5 AS bigint) AS seq_region, cast(1001 + (p_partkey * 53) % 17000 AS bigint) AS feature_start, cast(1001 + (p_partkey * 53) % 17000 + p_partkey % 40 AS bigint) AS feature_end, cast(1 + p_partkey % 2 AS int) AS feature_kind"
 
 
 def structural_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_split(STRUCTURAL))
+    return _table(spark, sf_dir, "events").selectExpr(*_split(STRUCTURAL))
 
 
 STRUCTURAL = """event_id AS event_index, cast(event_id % 5 + (event_id - event_id % 10000) AS bigint) AS seq_region, cast(1001 + (event_id * 13 + user_id * 7) % 18000 AS bigint) AS position,
@@ -69,6 +69,12 @@ STRUCTURAL = """event_id AS event_index, cast(event_id % 5 + (event_id - event_i
   case event_id % 4 when 0 then 'LOSS' when 1 then 'GAIN' when 2 then 'NEUTRAL' else 'UNKNOWN' end AS copy_change"""
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table in as many parts as there are cores, or more: its few row groups would leave the costly columns to a few tasks."""
+    df, n = spark.read.parquet(f"{sf_dir}/{name}.parquet"), 2 * spark.sparkContext.defaultParallelism
+    return df.repartition(n)
+
+
 def _split(columns: str) -> list[str]:
     """The top-level comma-separated parts, text in quotes kept whole."""
     out, depth, part, quoted = [], 0, "", False
@@ -98,5 +104,8 @@ def seq(first: str, last: str) -> str:
     return f"array_to_string(list_transform(range({first}, {last} + 1), lambda c: {letter}), '')"
 
 
-def lengths(df: DataFrame) -> DataFrame:
-    return df.withColumn("n", F.length("reference"))
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made-up reference in chunks of 1,000 bases (start counts from 0)."""
+    letters = f"array_join(transform(sequence(start + 1, end), p -> {base('p', 'seq_region')}), '')"
+    regions = transcripts(spark, sf_dir).select("seq_region").distinct()
+    return regions.selectExpr("seq_region", "explode(sequence(0L, 20000L, 1000L)) AS start").selectExpr("seq_region", "start", "start + 1000 AS end").selectExpr("*", f"{letters} AS seq")
