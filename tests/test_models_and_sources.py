@@ -67,3 +67,19 @@ def test_stream(spark, tmp_path):
     q = annotate_stream(stream, X.transcripts(spark, SF), 100, 100).writeStream.format("memory").queryName("annotated").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("annotated").count() > 0
+
+
+def test_limits(spark):
+    from varilume.operators.model import Limits
+
+    limits = Limits(100)
+    limits.charge(60)
+    limits.charge(-20)
+    assert (limits.charged, limits.high_water) == (40, 60) and limits.reset_high_water() and limits.high_water == 40
+    assert limits.set_ceiling(50) == 50
+    for call in (lambda: limits.set_ceiling(10), lambda: limits.set_ceiling(0), lambda: limits.set_workers(spark, 0, 1, 1, 1), lambda: limits.set_workers(spark, 2, -1, 1, 1)):
+        with pytest.raises(ValueError):
+            call()
+    with pytest.raises(MemoryError):
+        limits.charge(20)
+    assert limits.charged == 40 and limits.set_workers(spark, 6, 1 << 20, 0, 1 << 20)

@@ -14,6 +14,7 @@ from varilume.functions.hgvs import REACH
 from varilume.functions.vocab import consequence, impact, impact_code
 from varilume.operators import kernel
 from varilume.operators.classify import feature_mask, introns
+from varilume.operators.events import GEOMETRY as events_geometry
 from varilume.operators.events import allele_geometry
 from varilume.operators.intervals import overlap_join
 
@@ -25,7 +26,10 @@ READ = {
     "small": ("feature_start1", "feature_end1", "reference", "alternate", "reference_difference", "alternate_difference", "length_difference", "edit_start0", "edit_end0", "cds_length", "codon_table", "cds_sequence", "post_cds_sequence"),
     "structural": ("feature_start1", "feature_end1", "structural_type", "copy_change"),
     "breakend": ("feature_start1", "feature_end1"),
+    "unspecified": ("feature_start1", "feature_end1", "cds_length"),
 }
+#: Names of the projected columns as they are returned.
+PROJECTED = {c: c.replace("edit_cdna_first", "cdna_start").replace("edit_cdna_last", "cdna_end").replace("edit_cds_first", "cds_start").replace("edit_cds_last", "cds_end").replace("edit_protein_first", "protein_start").replace("edit_protein_last", "protein_end") for c in kernel.PROJECTED}
 SPAN = ("transcript_start", "transcript_end", "strand", "transcript_flags", "cds_start", "cds_end", "exons")
 
 
@@ -82,14 +86,50 @@ def small_variants(events: DataFrame, transcripts: DataFrame, upstream: int = 50
     if chunks is not None and set(columns) & set(HGVS):
         ev = reference_around(ev, chunks)
     got = pairs(ev, transcripts, upstream, downstream)
-    on = (F.greatest("feature_start1", "feature_end1") >= F.col("cds_start")) & (F.least("feature_start1", "feature_end1") <= F.col("cds_end"))
-    got = got.withColumns({"cds_length": F.length("cds_sequence"), "post_cds_sequence": F.when(on, F.col("post_cds_sequence")), "cds_sequence": F.when(on, F.col("cds_sequence"))})
+    got = _with_cds(got)
     if "window" in got.columns:
         near = (F.greatest("feature_start1", "feature_end1") >= F.col("transcript_start")) & (F.least("feature_start1", "feature_end1") <= F.col("transcript_end"))
         got = got.withColumn("window", F.when(near, F.col("window")))
     return evaluated(got, columns, "small")
 
 
+def _with_cds(got: DataFrame) -> DataFrame:
+    """Pairs with cds_length, and the sequences only where the event lies on the span of the CDS."""
+    on = (F.greatest("feature_start1", "feature_end1") >= F.col("cds_start")) & (F.least("feature_start1", "feature_end1") <= F.col("cds_end"))
+    return got.withColumns({"cds_length": F.length("cds_sequence"), "post_cds_sequence": F.when(on, F.col("post_cds_sequence")), "cds_sequence": F.when(on, F.col("cds_sequence"))})
+
+
+def annotate_projected(events: DataFrame, transcripts: DataFrame, upstream_distance: int = 5000, downstream_distance: int = 5000) -> DataFrame:
+    """The events' columns, the geometry of their alleles, the terms, and the edit as it lies on the transcript: spans, ranks of
+    exons and introns, the distance outside, residues and codons. Literal alleles alone; <*> and other symbols are an error."""
+    source = [c for c in events.columns if c not in ("seq_region",)]
+    geometry = [c.split()[0] for c in events_geometry.split(", ")]
+    columns = (*source, "seq_region", *geometry, "transcript_index", "consequence_mask", "consequence", "impact", "region", "nmd_prediction", "nmd_escape", *kernel.PROJECTED)
+    got = small_variants(checked(events), transcripts, upstream_distance, downstream_distance, tuple(dict.fromkeys(columns)))
+    plain = [c for c in dict.fromkeys(columns) if c not in geometry and c not in kernel.PROJECTED]
+    return got.select(*plain, F.struct(*geometry).alias("geometry"), *(F.col(c).alias(n) for c, n in PROJECTED.items()))
+
+
+def transcript_projection(events: DataFrame, annotations: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """The projected columns of annotations made before (event_index, transcript_index): the pairs as they are given, by two joins on keys."""
+    got = annotate_pairs(annotations.select("event_index", "transcript_index"), events, transcripts, ("event_index", "transcript_index", *kernel.PROJECTED))
+    return got.select("event_index", "transcript_index", *(F.col(c).alias(n) for c, n in PROJECTED.items()))
+
+
+def annotate_pairs(keys: DataFrame, events: DataFrame, transcripts: DataFrame, columns: tuple[str, ...] = COMPACT) -> DataFrame:
+    """columns for the pairs (event_index, transcript_index) that the caller names, whatever their distance; others of a region are dropped."""
+    tx = transcripts.select(*MODEL).withColumnRenamed("seq_region", "_region")
+    got = keys.join(allele_geometry(checked(events)), "event_index").join(tx, "transcript_index").filter("seq_region = _region")
+    return evaluated(_with_cds(got), columns, "small")
+
+
+def unspecified_alternates(events: DataFrame, transcripts: DataFrame, upstream: int = 5000, downstream: int = 5000) -> DataFrame:
+    """COMPACT columns for <*>, the allele that stands for any not seen: where it lies, and that start and stop codons are kept."""
+    ev = events.filter(F.col("alternate") == "<*>").withColumns({"feature_start1": F.col("position").cast("long"), "feature_end1": F.col("position").cast("long") + F.length("reference") - 1})
+    got = pairs(ev, transcripts.withColumn("cds_length", F.length("cds_sequence")), upstream, downstream, ("transcript_index", "seq_region", *SPAN, "cds_length"))
+    return evaluated(got, COMPACT, "unspecified")
+
+
 def _named(df: DataFrame) -> DataFrame:
     m = F.col("consequence_mask")
     return df.withColumns({"consequence": consequence(m), "impact_code": impact_code(m), "impact": impact(m)})
@@ -116,11 +156,13 @@ def breakends(events: DataFrame, transcripts: DataFrame, distance: int = 5000) -
 
 
 def family(events: DataFrame) -> Column:
-    """small, structural, breakend, or null for alleles that state no change (<NON_REF>, *, .)."""
+    """small, unspecified (<*>), structural, breakend, or null for alleles that state no change (<NON_REF>, *, .)."""
     alt = F.col("alternate")
     kind = F.col("structural_type") if "structural_type" in events.columns else F.lit(None)
     mate = F.col("mate_position") if "mate_position" in events.columns else F.lit(None)
-    return F.when(alt.isin("<NON_REF>", "*", "."), None).when(mate.isNotNull() | alt.rlike(r"[\[\]]"), "breakend").when(kind.isNotNull() | alt.startswith("<"), "structural").otherwise("small")
+    # without columns for symbolic alleles <*> is an error of the literal ones
+    other = (alt == "<*>") if "structural_type" in events.columns else F.lit(False)
+    return F.when(alt.isin("<NON_REF>", "*", "."), None).when(other, "unspecified").when(mate.isNotNull() | alt.rlike(r"[\[\]]"), "breakend").when(kind.isNotNull() | alt.startswith("<"), "structural").otherwise("small")
 
 
 def checked(events: DataFrame) -> DataFrame:
@@ -151,6 +193,7 @@ def annotate(events: DataFrame, transcripts: DataFrame, *, rich: bool = False, h
     small = events.filter("_family = 'small'").withColumns({c: F.when(F.col("_family") == "small", F.col(c)) for c in ("reference", "alternate")})
     out = small_variants(small, transcripts, upstream_distance, downstream_distance, columns, chunks)
     if "structural_type" in events.columns:
+        out = out.unionByName(unspecified_alternates(events.filter("_family = 'unspecified'"), transcripts, upstream_distance, downstream_distance).select(*COMPACT), allowMissingColumns=True)
         out = out.unionByName(structural_variants(events.filter("_family = 'structural'"), transcripts, upstream_distance, downstream_distance).select(*COMPACT), allowMissingColumns=True)
     if "mate_position" in events.columns:
         out = out.unionByName(breakends(events.filter("_family = 'breakend'"), transcripts).select(*COMPACT), allowMissingColumns=True)

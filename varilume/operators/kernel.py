@@ -23,6 +23,13 @@ PLACES = ("cdna_start", "cdna_end", "cds_start_pos", "cds_end_pos", "protein_sta
 TEXTS = ("consequence", "impact", "region", "ref_codons", "alt_codons", "ref_peptide", "alt_peptide", "nmd_prediction", "transcript_hgvs", "protein_hgvs", "transcript_hgvs_status", "transcript_hgvs_reason", "protein_hgvs_status", "protein_hgvs_reason")
 #: Types of all that this module makes.
 TYPES = dict.fromkeys((*PREDICATES, *REGIONS, *SPLICE, "delta", "ablation", "amplification", "elongation", "truncation"), "boolean") | dict.fromkeys((*PLACES, "consequence_mask", "exon"), "bigint") | dict.fromkeys(TEXTS, "string") | {"impact_code": "int", "exon_count": "int", "nmd_escape": "int", "hgvs_shift": "int"}
+#: What a presentation of an edit on its transcript adds: spans of partly mapped edits, ranks, marked codons.
+PROJECTED = {
+    "output_allele": "string", "interbase": "boolean", "edit_cdna_first": "bigint", "edit_cdna_last": "bigint", "edit_cds_first": "bigint", "edit_cds_last": "bigint", "edit_protein_first": "bigint", "edit_protein_last": "bigint",
+    "exon_first": "int", "exon_last": "int", "exon_total": "int", "intron_first": "int", "intron_last": "int", "intron_total": "int", "transcript_distance": "bigint", "cds_start_nf": "boolean", "cds_end_nf": "boolean",
+    "reference_amino_acids": "string", "alternate_amino_acids": "string", "reference_codons": "string", "alternate_codons": "string",
+}
+TYPES |= PROJECTED
 BIG = np.int64(1 << 60)
 _SWAP = str.maketrans("ACGTUNRYKMBDHVSW", "TGCAANYRMKVHDBSW")
 _CODONS = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
@@ -248,10 +255,10 @@ def structural(p: Pairs, r: dict) -> dict[str, np.ndarray]:
 
 
 def terms(p: Pairs, r: dict, w: dict, d: dict, family: str, loss: np.ndarray) -> np.ndarray:
-    """The mask of terms that a pair's facts name. family: small, structural or breakend."""
+    """The mask of terms that a pair's facts name. family: small, unspecified, structural or breakend."""
     no = np.zeros(p.n, bool)
     get = lambda k: d.get(k, no)
-    small = family == "small"
+    small = family in ("small", "unspecified")
     open_ = ~no if small else ~r["complete"]
     outside = ~r["coding"] & r["exon_hit"] & ~r["complete"]
     framed = no if small else get("frameshift") | get("inframe_deletion")
@@ -300,6 +307,60 @@ def region_text(r: dict) -> pa.Array:
     return _chosen(code, [text(int(v)) for v in values])
 
 
+def unspecified(p: Pairs, r: dict) -> dict[str, np.ndarray]:
+    """Facts of the allele that stands for any other: at the start or stop codon they are kept, elsewhere in the CDS unknown."""
+    low, high = (p.e >= p.cs) & (p.s <= np.minimum(p.cs + 2, p.ce)), (p.e >= np.maximum(p.ce - 2, p.cs)) & (p.s <= p.ce)
+    start, stop = r["cds"] & np.where(p.fwd, low, high), r["cds"] & np.where(p.fwd, high, low)
+    return {"start_retained": start, "stop_retained": stop & ~start, "coding_unknown": r["cds"] & ~start & ~stop, "delta": r["cds"]}
+
+
+def projected(p: Pairs, r: dict, d: dict, at: dict, mask: np.ndarray) -> dict:
+    """PROJECTED: an end of the edit that doesn't map leaves the other one; the flanks of codons that the edit keeps are in lower case."""
+    within, insertion = r["within"], p.s > p.e
+    c1, c2 = at["cdna_start"], at["cdna_end"]
+    f = np.where(within, np.where(insertion & (c1 < 0) & (c2 >= 0), c2 + 1, c1), -1)
+    g = np.where(within, np.where(insertion & (c2 < 0) & (c1 >= 0), c1 - 1, c2), -1)
+    start, end = p.cdna(np.where(p.fwd, p.cs, p.ce)), p.cdna(np.where(p.fwd, p.ce, p.cs))
+    beyond = insertion & ((f > end) | (g < start))
+    place = lambda c: np.where(p.coding & (c >= 0) & (c >= start) & (c <= end) & ~beyond, c - start + 1, -1)
+    q1, q2 = place(f), place(g)
+    aa = lambda q: np.where(q >= 0, (q + 2) // 3, -1)
+    out: dict = {}
+    for name, a, b in (("cdna", f, g), ("cds", q1, q2), ("protein", aa(q1), aa(q2))):
+        turn = (a >= 0) & (b >= 0) & (a > b)
+        for end_, v in (("first", np.where(turn, b, a)), ("last", np.where(turn, a, b))):
+            out[f"edit_{name}_{end_}"] = pa.array(v, pa.int64(), mask=v < 0)
+
+    def ranks(hit: np.ndarray, owner: np.ndarray, place: np.ndarray, total: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        rank = np.where(p.fwd[owner], place + 1, total[owner] - place)[hit]
+        first, last = np.full(p.n, BIG), np.full(p.n, -1, np.int64)
+        np.minimum.at(first, owner[hit], rank)
+        np.maximum.at(last, owner[hit], rank)
+        none = last < 0
+        return pa.array(np.where(none, 0, first).astype(np.int32), mask=none), pa.array(last.astype(np.int32), mask=none)
+
+    so, eo = p.s[p.owner], p.e[p.owner]
+    out["exon_first"], out["exon_last"] = ranks((so <= p.ee) & (eo >= p.es), p.owner, np.arange(len(p.owner)) - p.first[p.owner], p.lens)
+    j = np.flatnonzero(p.owner[1:] == p.owner[:-1])  # neighbours that touch have an intron's rank too, without bases
+    o = p.owner[j]
+    out["intron_first"], out["intron_last"] = ranks((p.s[o] <= p.es[j + 1] - 1) & (p.e[o] >= p.ee[j] + 1), o, j - p.first[o], p.lens - 1)
+    out["exon_total"], out["intron_total"] = p.lens.astype(np.int32), np.maximum(p.lens - 1, 0).astype(np.int32)
+    away = np.minimum.reduce([abs(p.s - p.ts), abs(p.s - p.te), abs(p.e - p.ts), abs(p.e - p.te)])
+    out["transcript_distance"] = pa.array(away, pa.int64(), mask=(mask & mask_of("upstream_gene_variant", "downstream_gene_variant")) == 0)
+    out |= {"cds_start_nf": p.flag("cds_start_nf"), "cds_end_nf": p.flag("cds_end_nf"), "interbase": insertion}
+    rows = np.arange(p.n)
+    alleles = [(a.upper(), b.upper()) if len(a) == len(b) else (x, y) for a, b, x, y in zip(*(p.texts(c, rows) for c in ("reference", "alternate", "reference_difference", "alternate_difference")), strict=True)]
+    out["output_allele"] = np.array([b or "-" for _, b in alleles], object)
+    first = at["cds_start_pos"]
+    texts: dict = {c: np.full(p.n, None, object) for c in ("reference_codons", "alternate_codons", "reference_amino_acids", "alternate_amino_acids")}
+    for i in np.flatnonzero(d["delta"]).tolist():
+        (a, b), k = alleles[i], int(first[i] - 1) % 3
+        for c, codons, n in (("reference_codons", d["ref_codons"][i], len(a)), ("alternate_codons", d["alt_codons"][i], len(b))):
+            texts[c][i] = (codons[:k].lower() + codons[k : k + n] + codons[k + n :].lower()) or "-"
+        texts["reference_amino_acids"][i], texts["alternate_amino_acids"][i] = d["ref_peptide"][i] or "-", d["alt_peptide"][i] or "-"
+    return out | texts
+
+
 def evaluate(batch: pa.RecordBatch, want: list[str], family: str) -> pa.RecordBatch:
     """The columns wanted, those of the batch itself as they are."""
     p, asked = Pairs(batch), set(want)
@@ -311,10 +372,12 @@ def evaluate(batch: pa.RecordBatch, want: list[str], family: str) -> pa.RecordBa
     if family == "small":
         changed = p.ints("length_difference")
         loss, at = changed < 0, places(p)
-        d = coding(p, at, "protein_hgvs" in asked)
+        d = coding(p, at, bool(asked & set(hgvs.COLUMNS)))
         d["missense"], d["frameshift"] = d["missense"] & (changed == 0), d["frameshift"] & (changed != 0)
     elif family == "structural":
         d = structural(p, r)
+    elif family == "unspecified":
+        d, at = unspecified(p, r), places(p)
     else:
         d = {"truncation": r["within"]}
     mask = terms(p, r, w, d, family, loss)
@@ -339,6 +402,8 @@ def evaluate(batch: pa.RecordBatch, want: list[str], family: str) -> pa.RecordBa
         made |= {"nmd_prediction": _chosen(code, ["unresolved", "escaping", "triggering"]), "nmd_escape": pa.array(bits.astype(np.int32), mask=~(eligible & known))}
     if asked & set(hgvs.COLUMNS):
         made |= hgvs.describe_pairs(p, r, d, at)
+    if asked & set(PROJECTED):
+        made |= projected(p, r, d, at, mask)
     cols = []
     for name in want:
         c = made[name] if name in made else batch.column(name)

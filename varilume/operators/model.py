@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varilume.functions.dna import revcomp
+from varilume.operators.events import dense_index
 from varilume.operators.intervals import overlap_join
 
 
@@ -59,9 +60,11 @@ def transcripts(transcript: DataFrame, exon_transcript: DataFrame, exon: DataFra
         out = out.join(spliced, "transcript_id", "left").withColumn("spliced", F.when(F.col("seq_region_strand") > 0, F.col("genomic")).otherwise(revcomp(F.col("genomic"))))
         part = lambda a, b: F.substr("spliced", a.cast("int"), (b - a + 1).cast("int"))
         out = out.withColumns({"cds_sequence": part(F.col("cdna_coding_start"), F.col("cdna_coding_end")), "pre_cds_sequence": part(F.lit(1), F.col("cdna_coding_start") - 1), "post_cds_sequence": part(F.col("cdna_coding_end") + 1, F.length("spliced"))})
-    index = F.row_number().over(Window.orderBy("seq_region", "seq_region_start", "transcript_id")) - 1
     keep = [c for c in ("cds_sequence", "pre_cds_sequence", "post_cds_sequence") if c in out.columns]
-    return out.select(index.alias("transcript_index"), "transcript_id", "stable_id", "seq_region", F.col("seq_region_start").alias("transcript_start"), F.col("seq_region_end").alias("transcript_end"), F.col("seq_region_strand").alias("strand"), "cds_start", "cds_end", "exons", *keep)
+    named = out.select("transcript_id", "stable_id", "seq_region", F.col("seq_region_start").alias("transcript_start"), F.col("seq_region_end").alias("transcript_end"), F.col("seq_region_strand").alias("strand"), "cds_start", "cds_end", "exons", *keep)
+    # numbers by a sort over ranges of keys alone, so that no task holds all sequences
+    index = dense_index(named.select("transcript_id", "seq_region", "transcript_start"), "transcript_index", F.col("seq_region"), F.col("transcript_start"), F.col("transcript_id"), start=0)
+    return named.join(index.select("transcript_id", "transcript_index"), "transcript_id").select("transcript_index", *named.columns)
 
 
 def regulation_features(regulatory: DataFrame, feature_type: DataFrame, motif: DataFrame, region_map: DataFrame) -> DataFrame:
@@ -69,8 +72,8 @@ def regulation_features(regulatory: DataFrame, feature_type: DataFrame, motif: D
     r = regulatory.join(F.broadcast(feature_type.filter("name != 'EMAR'").select("feature_type_id")), "feature_type_id", "left_semi").select("seq_region_id", F.col("seq_region_start").alias("feature_start"), F.col("seq_region_end").alias("feature_end"), F.col("regulatory_feature_id").alias("source_feature_id"), F.lit(1).alias("feature_kind"))
     m = motif.select("seq_region_id", F.col("seq_region_start").alias("feature_start"), F.col("seq_region_end").alias("feature_end"), F.col("motif_feature_id").alias("source_feature_id"), F.lit(2).alias("feature_kind"))
     both = r.unionByName(m).join(region_map.select(F.col("source_id").alias("seq_region_id"), "seq_region"), "seq_region_id").filter("feature_start > 0 and feature_end >= feature_start")
-    n = F.row_number().over(Window.orderBy("seq_region", "feature_start", "feature_end", "feature_kind", "source_feature_id")) - 1
-    return both.select(n.alias("regulation_feature_index"), "seq_region", "feature_start", "feature_end", "feature_kind", "source_feature_id")
+    order = ("seq_region", "feature_start", "feature_end", "feature_kind", "source_feature_id")
+    return dense_index(both, "regulation_feature_index", *map(F.col, order), start=0).select("regulation_feature_index", *order)
 
 
 def rna_edits(attributes: DataFrame) -> DataFrame:
@@ -135,6 +138,45 @@ class Model:
         return spark.createDataFrame(rows, "owner string, current long, row_limit long")
 
 
+class Limits:
+    """What a process may hold and use: a ceiling on charged bytes with its high water, and bounds of an annotation's workers."""
+
+    def __init__(self, ceiling: int = 1 << 40):
+        self.ceiling, self.charged, self.high_water = ceiling, 0, 0
+        self.workers: dict[str, int] = {}
+        self._lock = threading.Lock()
+
+    def set_ceiling(self, nbytes: int) -> int:
+        """The new ceiling; below 1, or below what is charged, is an error."""
+        with self._lock:
+            if not nbytes or nbytes < 1 or nbytes < self.charged:
+                raise ValueError("the ceiling must be positive and hold what is charged already")
+            self.ceiling = int(nbytes)
+            return self.ceiling
+
+    def charge(self, nbytes: int) -> None:
+        """Add (or, below 0, give back) bytes; beyond the ceiling is an error that changes nothing."""
+        with self._lock:
+            if self.charged + nbytes > self.ceiling:
+                raise MemoryError("the ceiling is reached")
+            self.charged = max(0, self.charged + nbytes)
+            self.high_water = max(self.high_water, self.charged)
+
+    def reset_high_water(self) -> bool:
+        with self._lock:
+            self.high_water = self.charged
+        return True
+
+    def set_workers(self, spark: SparkSession, workers: int, scratch_bytes: int, emit_bytes: int, idle_bytes: int) -> bool:
+        """Bounds of the batches that Python workers get: rows follow from emit_bytes; workers say into how many tasks pairs are dealt."""
+        if workers is None or not 1 <= workers <= 1024 or any(x is None or x < 0 for x in (scratch_bytes, emit_bytes, idle_bytes)):
+            raise ValueError("workers must be 1 to 1024, and bytes not negative")
+        self.workers = {"workers": workers, "scratch_bytes": scratch_bytes, "emit_bytes": emit_bytes, "idle_bytes": idle_bytes}
+        if emit_bytes:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(emit_bytes))
+        return True
+
+
 class Registry:
     """Models by name; loading replaces a name's model and advances the generation."""
 

@@ -203,12 +203,12 @@ def expansionhunter(records: DataFrame) -> DataFrame:
 
     records: event_index, RU, REF_COUNT, GT, SO, REPCN. A called count is exact where its support is SPANNING, else a summary.
     """
-    df = records.withColumns({"gt": F.split("GT", r"[/|]"), "so": F.split("SO", "/"), "cn": F.split("REPCN", "/")})
+    df = records.withColumns({"_gt": F.split("GT", r"[/|]"), "_so": F.split("SO", "/"), "_cn": F.split("REPCN", "/")})
     reason = (
         F.when(F.col("RU").isNull() | ~F.col("RU").rlike("^[ACGTURYKMSWBDHVN]+$"), "invalid_unit").when(F.col("REF_COUNT").isNull() | (F.col("REF_COUNT") < 0), "invalid_reference_count").when(F.col("GT").isNull() | F.col("GT").rlike(r"\."), "missing_genotype")
-        .when((F.size("gt") != F.size("so")) | (F.size("gt") != F.size("cn")), "field_count_mismatch").when(F.exists("cn", lambda x: ~x.rlike("^[0-9]+$")), "invalid_repeat_count").when(F.exists("so", lambda x: ~x.isin("SPANNING", "FLANKING", "INREPEAT")), "unknown_support")
+        .when((F.size("_gt") != F.size("_so")) | (F.size("_gt") != F.size("_cn")), "field_count_mismatch").when(F.exists("_cn", lambda x: ~x.rlike("^[0-9]+$")), "invalid_repeat_count").when(F.exists("_so", lambda x: ~x.isin("SPANNING", "FLANKING", "INREPEAT")), "unknown_support")
     )
     df = df.withColumn("reason", reason)
-    exact = F.forall("so", lambda x: x == "SPANNING")
+    exact = F.forall("_so", lambda x: x == "SPANNING")
     ok = F.col("reason").isNull()
-    return df.select("event_index", F.when(~ok, "unsupported").when(exact, "exact").otherwise("summary_only").alias("status"), "reason", F.when(ok, F.array_join(F.transform("cn", lambda x: F.concat(F.col("RU"), F.lit("x"), x)), ",")).alias("alleles"), F.when(ok, exact).alias("exact"))
+    return df.select("event_index", F.when(~ok, "unsupported").when(exact, "exact").otherwise("summary_only").alias("status"), "reason", F.when(ok, F.array_join(F.transform("_cn", lambda x: F.concat(F.col("RU"), F.lit("x"), x)), ",")).alias("alleles"), F.when(ok, exact).alias("exact"))

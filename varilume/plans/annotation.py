@@ -20,8 +20,8 @@ def _snv(spark, sf_dir):
 
 
 def _facts(spark, sf_dir, **columns):
-    """Kernel columns of all pairs with a substitution, under the names given."""
-    got = A.small_variants(_snv(spark, sf_dir), X.transcripts(spark, sf_dir), K, K, (*PAIR, *columns.values()))
+    """Kernel columns of all pairs, under the names given."""
+    got = A.small_variants(X.events(spark, sf_dir), X.transcripts(spark, sf_dir), K, K, (*PAIR, *columns.values()))
     return got.select(*PAIR, *(F.col(c).alias(n) for n, c in columns.items()))
 
 
@@ -95,20 +95,12 @@ def interval_features(spark, sf_dir):
 
 def sv_consequence(spark, sf_dir):
     ev = X.structural_events(spark, sf_dir).withColumns({"reference": F.lit("N"), "alternate": F.concat(F.lit("<"), "structural_type", F.lit(">"))})
-    got = A.structural_variants(ev, X.transcripts(spark, sf_dir).filter("not coding"), K, K)
-    return got.select(*PAIR, "consequence", "impact")
+    return A.structural_variants(ev, X.transcripts(spark, sf_dir), K, K).select(*PAIR, "consequence", "impact")
 
 
 def breakend_candidates(spark, sf_dir):
-    ev = X.structural_events(spark, sf_dir).filter("event_index % 4 = 0")
-    ev = ev.withColumns({"mate_seq_region": F.col("seq_region"), "mate_position": F.col("end_position"), "alternate": F.lit("N[x:1[")})
-    return A.breakends(ev, X.transcripts(spark, sf_dir).filter("not coding"), K).select(*PAIR, F.expr("consequence like '%feature_truncation%'").alias("truncated"))
-
-
-def sv_annotate(spark, sf_dir):
-    """All structural events on all transcripts, coding ones too; no SQL."""
-    ev = X.structural_events(spark, sf_dir).withColumns({"reference": F.lit("N"), "alternate": F.concat(F.lit("<"), "structural_type", F.lit(">"))})
-    return A.structural_variants(ev, X.transcripts(spark, sf_dir), K, K).select(*PAIR, "consequence", "impact")
+    ev = X.structural_events(spark, sf_dir).withColumns({"mate_seq_region": F.col("seq_region"), "mate_position": F.col("end_position"), "alternate": F.lit("N[x:1[")})
+    return A.breakends(ev, X.transcripts(spark, sf_dir), K).select(*PAIR, F.expr("consequence like '%feature_truncation%'").alias("truncated"))
 
 
 def breakend_annotate(spark, sf_dir):
@@ -136,7 +128,7 @@ def lof(spark, sf_dir):
     return L.lof(A.small_variants(_snv(spark, sf_dir), tx, K, K, L.READ), X.chunks(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (interval_join, interval_union, asof_interval, region_class, splice_class, projection, annotate_snv, annotate_rich, annotate_compact, indel_frame, coverage_intergenic, coding_transcripts, interval_features, sv_consequence, breakend_candidates, sv_annotate, breakend_annotate, lof, rule_program, impact_text)}
+QUERIES = {f.__name__: f for f in (interval_join, interval_union, asof_interval, region_class, splice_class, projection, annotate_snv, annotate_rich, annotate_compact, indel_frame, coverage_intergenic, coding_transcripts, interval_features, sv_consequence, breakend_candidates, breakend_annotate, lof, rule_program, impact_text)}
 
 _PR = f"""
 pr AS (SELECT e.event_index, e.position AS pos, e.reference, e.alternate, t.* FROM ev e JOIN tx t ON e.seq_region = t.seq_region
@@ -156,6 +148,26 @@ cl AS (SELECT p.*, in_exon, cdna, exon_at, pos < transcript_start AS before, pos
   CASE WHEN strand = 1 THEN five_left ELSE five_right END AS fifth, CASE WHEN strand = 1 THEN dr_left ELSE dr_right END AS dr, CASE WHEN strand = 1 THEN ppt_right ELSE ppt_left END AS ppt, near, deep
   FROM pr p JOIN fx USING (event_index, transcript_index))
 """
+#: Pairs of all alleles with the span s..e of what they change (an insertion: s = e + 1), and facts of exons and introns.
+ALL = f"""
+sm AS (SELECT *, position + CASE WHEN form >= 8 THEN 1 ELSE 0 END AS s, position + CASE form WHEN 7 THEN 1 WHEN 9 THEN 2 ELSE 0 END AS e FROM ev),
+pa AS (SELECT m.event_index, m.position, m.reference, m.alternate, m.form, m.s, m.e, t.*, m.e >= t.transcript_start AND m.s <= t.transcript_end AS within FROM sm m JOIN tx t ON m.seq_region = t.seq_region
+  AND t.transcript_start <= greatest(s, e) + {K} AND t.transcript_end >= least(s, e) - {K}),
+g1 AS (SELECT p.event_index, p.transcript_index, p.s, p.e, p.strand, p.exon_count AS n, k, es, ee, ee + 1 AS a, ee + p.intron_len AS b, k < p.exon_count - 1 AS gap, p.cds_start AS cs, p.cds_end AS ce, exon_cdna FROM pa p JOIN ex x ON p.transcript_index = x.transcript_index),
+g2 AS (SELECT event_index, transcript_index, bool_or(e >= es AND s <= ee) AS hit, bool_or(gap AND e >= a AND s <= b) AS between_,
+  coalesce(bool_or(e >= es AND s <= ee AND least(e, ee) >= cs AND greatest(s, es) <= ce), false) AS on_cds,
+  bool_or(gap AND e >= a AND s <= a + 1) AS d2, bool_or(gap AND e >= b - 1 AND s <= b) AS a2,
+  bool_or(gap AND CASE WHEN strand = 1 THEN e >= a + 4 AND s <= a + 4 ELSE e >= b - 4 AND s <= b - 4 END) AS fifth,
+  bool_or(gap AND CASE WHEN strand = 1 THEN e >= a + 2 AND s <= a + 5 ELSE e >= b - 5 AND s <= b - 2 END) AS dr,
+  bool_or(gap AND CASE WHEN strand = 1 THEN greatest(s, e) >= b - 16 AND least(s, e) <= b - 2 ELSE greatest(s, e) >= a + 2 AND least(s, e) <= a + 16 END) AS ppt,
+  bool_or(gap AND ((e >= a + 2 AND s <= a + 7) OR (e >= b - 7 AND s <= b - 2) OR (e >= a - 3 AND s <= a - 1) OR (e >= b + 1 AND s <= b + 3) OR (s = e + 1 AND (s = a OR e = b OR s = a + 2 OR e = b - 2)))) AS near,
+  bool_or(gap AND ((e >= a + 2 AND s <= b - 2) OR (s = e + 1 AND (s = a + 2 OR e = b - 2)))) AS deep,
+  max(CASE WHEN s BETWEEN es AND ee THEN exon_cdna + CASE WHEN strand = 1 THEN s - es ELSE ee - s END END) AS at_s, max(CASE WHEN e BETWEEN es AND ee THEN exon_cdna + CASE WHEN strand = 1 THEN e - es ELSE ee - e END END) AS at_e,
+  min(CASE WHEN e >= es AND s <= ee THEN CASE WHEN strand = 1 THEN k + 1 ELSE n - k END END) AS exon_first, max(CASE WHEN e >= es AND s <= ee THEN CASE WHEN strand = 1 THEN k + 1 ELSE n - k END END) AS exon_last,
+  min(CASE WHEN gap AND s <= b AND e >= a THEN CASE WHEN strand = 1 THEN k + 1 ELSE n - 1 - k END END) AS intron_first, max(CASE WHEN gap AND s <= b AND e >= a THEN CASE WHEN strand = 1 THEN k + 1 ELSE n - 1 - k END END) AS intron_last
+  FROM g1 GROUP BY 1, 2),
+fa AS (SELECT p.*, g.* EXCLUDE (event_index, transcript_index), CASE WHEN strand = 1 THEN at_s ELSE at_e END AS c1, CASE WHEN strand = 1 THEN at_e ELSE at_s END AS c2 FROM pa p JOIN g2 g USING (event_index, transcript_index))
+"""
 _CODE = GENETIC_CODES[1]
 
 
@@ -204,12 +216,12 @@ ORACLES = {
  b AS (SELECT *, sum(CASE WHEN reach IS NULL OR es > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seq_region ORDER BY es, ee ROWS UNBOUNDED PRECEDING) AS g FROM a),
  c AS (SELECT seq_region, min(es) AS first, max(ee) AS last FROM b GROUP BY seq_region, g)
  SELECT e.event_index, c.first, c.last, coalesce(c.last >= e.position, false) AS inside FROM ev e ASOF LEFT JOIN c ON e.seq_region = c.seq_region AND e.position >= c.first""",
-    "region_class": f"""WITH {X.CTE}, {_PR} SELECT event_index, transcript_index, CASE WHEN strand = 1 THEN before ELSE after END AS upstream, CASE WHEN strand = 1 THEN after ELSE before END AS downstream, in_exon AS exon,
- coding AND in_exon AND pos BETWEEN cds_start AND cds_end AS cds, coding AND in_exon AND ((strand = 1 AND pos < cds_start) OR (strand = -1 AND pos > cds_end)) AS utr5,
- coding AND in_exon AND ((strand = 1 AND pos > cds_end) OR (strand = -1 AND pos < cds_start)) AS utr3, NOT before AND NOT after AND NOT in_exon AS intron FROM cl""",
-    "splice_class": f"WITH {X.CTE}, {_PR} SELECT event_index, transcript_index, donor, acceptor, fifth, dr AND NOT fifth AS donor_region, ppt, near AND NOT donor AND NOT acceptor AND NOT fifth AND NOT (dr AND NOT fifth) AS region, deep AS intronic FROM cl",
-    "projection": f"""WITH {X.CTE}, {_PR} SELECT event_index, transcript_index, cdna AS cdna_start, CASE WHEN coding AND cdna BETWEEN 11 AND 10 + cds_length THEN cdna - 10 END AS cds_pos,
- CASE WHEN coding AND cdna BETWEEN 11 AND 10 + cds_length THEN (cdna - 11 - (cdna - 11) % 3) // 3 + 1 END AS protein_start FROM cl""",
+    "region_class": f"""WITH {X.CTE}, {ALL} SELECT event_index, transcript_index, CASE WHEN strand = 1 THEN e < transcript_start ELSE s > transcript_end END AS upstream, CASE WHEN strand = 1 THEN s > transcript_end ELSE e < transcript_start END AS downstream, within AND hit AS exon,
+ coding AND within AND on_cds AS cds, coding AND within AND hit AND CASE WHEN strand = 1 THEN s <= cds_start - 1 ELSE e >= cds_end + 1 END AS utr5, coding AND within AND hit AND CASE WHEN strand = 1 THEN e >= cds_end + 1 ELSE s <= cds_start - 1 END AS utr3, within AND (between_ OR NOT hit) AS intron FROM fa""",
+    "splice_class": f"""WITH {X.CTE}, {ALL} SELECT event_index, transcript_index, CASE WHEN strand = 1 THEN d2 ELSE a2 END AS donor, CASE WHEN strand = 1 THEN a2 ELSE d2 END AS acceptor, fifth, dr AND NOT fifth AS donor_region, ppt,
+ near AND NOT d2 AND NOT a2 AND NOT dr AND NOT fifth AS region, deep AS intronic FROM fa""",
+    "projection": f"""WITH {X.CTE}, {ALL}, q AS (SELECT *, CASE WHEN coding AND c1 BETWEEN 11 AND 10 + cds_length AND c2 BETWEEN 11 AND 10 + cds_length AND c2 - c1 = e - s THEN c1 - 10 END AS cds_pos FROM fa)
+ SELECT event_index, transcript_index, c1 AS cdna_start, cds_pos, (cds_pos - 1 - (cds_pos - 1) % 3) // 3 + 1 AS protein_start FROM q""",
     "annotate_snv": f"""WITH {X.CTE}, {_PR}, {_SNV}
  SELECT event_index, transcript_index, cj.mask AS consequence_mask, consequence, CASE code WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MODERATE' WHEN 1 THEN 'LOW' ELSE 'MODIFIER' END AS impact, cds AS cds_start_pos, codon AS ref_codons, changed AS alt_codons, rp AS ref_peptide, ap AS alt_peptide,
  CASE WHEN (ap = '*' AND rp <> '*') OR donor OR acceptor THEN CASE WHEN cds IS NULL THEN 'unresolved'
@@ -228,20 +240,24 @@ ORACLES = {
  WHEN event_id % 2 = 0 OR event_id % 5 = 0 OR event_id % 11 = 0 THEN concat_ws('&', CASE WHEN event_id % 5 = 0 THEN 'stop_gained' END, CASE WHEN event_id % 2 = 0 THEN 'missense_variant' END, CASE WHEN event_id % 11 = 0 THEN 'intron_variant' END) ELSE 'intergenic_variant' END AS consequence,
  CASE WHEN event_id % 7 = 0 THEN 3 WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 5 = 0 THEN 3 WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS impact_code,
  CASE WHEN event_id % 7 = 0 THEN 'HIGH' WHEN event_id % 3 = 0 THEN 'MODIFIER' WHEN event_id % 5 = 0 THEN 'HIGH' WHEN event_id % 2 = 0 THEN 'MODERATE' ELSE 'MODIFIER' END AS impact FROM events""",
-    "sv_consequence": f"""WITH {X.CTE}, sv AS (SELECT {X.STRUCTURAL} FROM events), p AS (SELECT s.event_index, s.position AS a, s.end_position AS b, s.structural_type AS kind, t.* FROM sv s JOIN tx t ON s.seq_region = t.seq_region AND t.transcript_start <= s.end_position + {K} AND t.transcript_end >= s.position - {K} WHERE NOT t.coding),
- g AS (SELECT p.event_index, p.transcript_index, any_value(a) AS a, any_value(b) AS b, any_value(kind) AS kind, any_value(p.transcript_start) AS ts, any_value(p.transcript_end) AS te, any_value(p.strand) AS strand,
-   bool_or(b >= es AND a <= ee) AS exon, bool_or(k < p.exon_count - 1 AND b >= ee + 3 AND a <= ee + p.intron_len - 2) AS deep,
+    "sv_consequence": f"""WITH {X.CTE}, sv AS (SELECT {X.STRUCTURAL} FROM events), p AS (SELECT s.event_index, s.position AS a, s.end_position AS b, s.structural_type AS kind, t.* FROM sv s JOIN tx t ON s.seq_region = t.seq_region AND t.transcript_start <= s.end_position + {K} AND t.transcript_end >= s.position - {K}),
+ g AS (SELECT p.event_index, p.transcript_index, any_value(a) AS a, any_value(b) AS b, any_value(kind) AS kind, any_value(p.transcript_start) AS ts, any_value(p.transcript_end) AS te, any_value(p.strand) AS strand, any_value(p.coding) AS coding, any_value(p.cds_start) AS cs, any_value(p.cds_end) AS ce,
+   bool_or(b >= es AND a <= ee) AS exon, coalesce(bool_or(b >= es AND a <= ee AND least(b, ee) >= p.cds_start AND greatest(a, es) <= p.cds_end), false) AS on_cds, bool_or(a >= es AND b <= ee) AS in_one, bool_or(k < p.exon_count - 1 AND b >= ee + 3 AND a <= ee + p.intron_len - 2) AS deep,
    bool_or(k < p.exon_count - 1 AND CASE WHEN p.strand = 1 THEN b >= ee + p.intron_len - 16 AND a <= ee + p.intron_len - 2 ELSE b >= ee + 3 AND a <= ee + 17 END) AS ppt FROM p JOIN ex x ON p.transcript_index = x.transcript_index GROUP BY 1, 2),
- h AS (SELECT *, b >= ts AND a <= te AS within, a <= ts AND b >= te AS whole, a >= ts AND b <= te AS held FROM g),
+ h AS (SELECT *, b >= ts AND a <= te AS within, a <= ts AND b >= te AS whole, a >= ts AND b <= te AS held, coding AND on_cds AS cds, coalesce(b >= cs AND a <= least(cs + 2, ce), false) AS low, coalesce(b >= greatest(ce - 2, cs) AND a <= ce, false) AS high FROM g),
+ f AS (SELECT *, within AND NOT whole AS part, kind = 'DEL' AND within AND NOT whole AND in_one AND cds AND (b - a + 1) % 3 <> 0 AS shift, kind = 'DEL' AND within AND NOT whole AND in_one AND cds AND (b - a + 1) % 3 = 0 AND a >= cs AND b <= ce AS inframe FROM h),
  i AS (SELECT *, CASE WHEN whole AND kind = 'DEL' THEN 'transcript_ablation' WHEN whole AND kind = 'DUP' THEN 'transcript_amplification' ELSE concat_ws('&',
-   CASE WHEN exon AND held AND kind = 'DUP' THEN 'feature_elongation' END, CASE WHEN exon AND NOT whole AND kind = 'DEL' THEN 'feature_truncation' END,
-   CASE WHEN ppt AND NOT exon AND NOT whole THEN 'splice_polypyrimidine_tract_variant' END, CASE WHEN exon AND NOT whole THEN 'non_coding_transcript_exon_variant' END,
+   CASE WHEN shift THEN 'frameshift_variant' END, CASE WHEN part AND kind = 'DEL' AND cds AND CASE WHEN strand = 1 THEN high ELSE low END THEN 'stop_lost' END, CASE WHEN part AND coding AND exon AND CASE WHEN strand = 1 THEN low ELSE high END THEN 'start_lost' END,
+   CASE WHEN exon AND held AND kind = 'DUP' THEN 'feature_elongation' END, CASE WHEN exon AND part AND kind = 'DEL' THEN 'feature_truncation' END, CASE WHEN inframe THEN 'inframe_deletion' END,
+   CASE WHEN ppt AND NOT exon AND NOT whole THEN 'splice_polypyrimidine_tract_variant' END, CASE WHEN cds AND NOT whole AND NOT shift AND NOT coalesce(inframe, false) THEN 'coding_sequence_variant' END,
+   CASE WHEN coding AND exon AND NOT whole AND CASE WHEN strand = 1 THEN a <= cs - 1 ELSE b >= ce + 1 END THEN '5_prime_UTR_variant' END, CASE WHEN coding AND exon AND NOT whole AND CASE WHEN strand = 1 THEN b >= ce + 1 ELSE a <= cs - 1 END THEN '3_prime_UTR_variant' END,
+   CASE WHEN NOT coding AND exon AND NOT whole THEN 'non_coding_transcript_exon_variant' END,
    CASE WHEN deep AND NOT whole THEN 'intron_variant' END, CASE WHEN within AND transcript_index % 17 = 0 THEN 'NMD_transcript_variant' END,
-   CASE WHEN within AND NOT (exon AND NOT whole) THEN 'non_coding_transcript_variant' END,
-   CASE WHEN (strand = 1 AND b < ts) OR (strand = -1 AND a > te) THEN 'upstream_gene_variant' END, CASE WHEN (strand = 1 AND a > te) OR (strand = -1 AND b < ts) THEN 'downstream_gene_variant' END) END AS consequence FROM h)
- SELECT event_index, transcript_index, consequence, CASE WHEN consequence LIKE 'transcript_a%' OR consequence LIKE 'feature_%' THEN 'HIGH' WHEN consequence LIKE 'splice_poly%' THEN 'LOW' ELSE 'MODIFIER' END AS impact FROM i""",
-    "breakend_candidates": f"""WITH {X.CTE}, sv AS (SELECT {X.STRUCTURAL} FROM events), pt AS (SELECT event_index, seq_region, position AS p FROM sv WHERE event_index % 4 = 0 UNION ALL SELECT event_index, seq_region, end_position FROM sv WHERE event_index % 4 = 0)
- SELECT event_index, transcript_index, bool_or(p BETWEEN transcript_start AND transcript_end) AS truncated FROM pt JOIN tx ON pt.seq_region = tx.seq_region AND transcript_start <= p + {K} AND transcript_end >= p - {K} WHERE NOT coding GROUP BY 1, 2""",
+   CASE WHEN NOT coding AND within AND NOT (exon AND NOT whole) THEN 'non_coding_transcript_variant' END, CASE WHEN coding AND whole AND transcript_index % 17 <> 0 THEN 'coding_transcript_variant' END,
+   CASE WHEN (strand = 1 AND b < ts) OR (strand = -1 AND a > te) THEN 'upstream_gene_variant' END, CASE WHEN (strand = 1 AND a > te) OR (strand = -1 AND b < ts) THEN 'downstream_gene_variant' END) END AS consequence FROM f)
+ SELECT event_index, transcript_index, CASE WHEN consequence = '' THEN 'intergenic_variant' ELSE consequence END AS consequence, CASE WHEN regexp_matches(consequence, '^(transcript_a|feature_|frameshift|stop_lost|start_lost)') THEN 'HIGH' WHEN consequence LIKE 'inframe%' THEN 'MODERATE' WHEN consequence LIKE 'splice_poly%' THEN 'LOW' ELSE 'MODIFIER' END AS impact FROM i""",
+    "breakend_candidates": f"""WITH {X.CTE}, sv AS (SELECT {X.STRUCTURAL} FROM events), pt AS (SELECT event_index, seq_region, position AS p FROM sv UNION ALL SELECT event_index, seq_region, end_position FROM sv)
+ SELECT event_index, transcript_index, bool_or(p BETWEEN transcript_start AND transcript_end) AS truncated FROM pt JOIN tx ON pt.seq_region = tx.seq_region AND transcript_start <= p + {K} AND transcript_end >= p - {K} GROUP BY 1, 2""",
     "lof": f"""WITH {X.CTE}, {_PR}, {_SNV},
  k AS (SELECT *, CASE WHEN strand = 1 THEN cds_end ELSE cds_start END AS stop, ap = '*' AND rp <> '*' AS gained FROM cj WHERE coding AND ((ap = '*' AND rp <> '*') OR donor OR acceptor)),
  w AS (SELECT k.event_index, k.transcript_index, sum(CASE WHEN (k.strand = 1 AND pos > ee) OR (k.strand = -1 AND pos < es) THEN 0 ELSE abs(
