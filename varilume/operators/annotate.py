@@ -82,7 +82,8 @@ def small_variants(events: DataFrame, transcripts: DataFrame, upstream: int = 50
 
     A CDS goes along only with events on its span. With reference chunks HGVS covers introns, UTRs, insertions and deletions.
     """
-    ev = allele_geometry(events)
+    # null checks that a join derives may run before a filter by family: other families' alleles are no error here
+    ev = allele_geometry(events, literal=F.col("_family") == "small" if "_family" in events.columns else None)
     if chunks is not None and set(columns) & set(HGVS):
         ev = reference_around(ev, chunks)
     got = pairs(ev, transcripts, upstream, downstream)
@@ -189,8 +190,7 @@ def annotate(events: DataFrame, transcripts: DataFrame, *, rich: bool = False, h
         raise ValueError("distances must not be negative")
     columns = (RICH if rich else COMPACT) + (HGVS if hgvs else ())
     events = checked(events).withColumn("_family", family(events))
-    # null checks that a join derives may run before the filter: other families' alleles must not reach allele_geometry's errors
-    small = events.filter("_family = 'small'").withColumns({c: F.when(F.col("_family") == "small", F.col(c)) for c in ("reference", "alternate")})
+    small = events.filter("_family = 'small'")
     out = small_variants(small, transcripts, upstream_distance, downstream_distance, columns, chunks)
     if "structural_type" in events.columns:
         out = out.unionByName(unspecified_alternates(events.filter("_family = 'unspecified'"), transcripts, upstream_distance, downstream_distance).select(*COMPACT), allowMissingColumns=True)

@@ -23,14 +23,15 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(first - 1, n)
 
 
-def allele_geometry(df: DataFrame, position: str = "position", reference: str = "reference", alternate: str = "alternate") -> DataFrame:
+def allele_geometry(df: DataFrame, position: str = "position", reference: str = "reference", alternate: str = "alternate", literal: Column | None = None) -> DataFrame:
     """df with the columns of GEOMETRY: what is left of the alleles without their common prefix and suffix.
 
     Equal lengths keep the uploaded span as the feature; others take the trimmed span, an insertion as the
-    reversed interval that ends before it starts. Empty, equal, overlong or non-ACGTN alleles raise an error.
+    reversed interval that ends before it starts. Empty, equal, overlong or non-ACGTN alleles raise an error, where literal holds.
     """
     ref, alt, pos = F.upper(F.col(reference)), F.upper(F.col(alternate)), F.col(position).cast("long")
     bad = ~ref.rlike("^[ACGTN]+$") | ~alt.rlike("^[ACGTN]+$") | (ref == alt) | (F.length(ref) > LONGEST) | (F.length(alt) > LONGEST)
+    bad = bad if literal is None else literal & bad
     ref = F.when(bad, F.raise_error(F.lit("allele_geometry: alleles must differ and hold 1 to 65535 of ACGTN"))).otherwise(ref)
 
     def trimmed(x: Column) -> Column:
