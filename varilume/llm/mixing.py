@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +18,8 @@ BLOCK, SHARD_SLOTS, BUCKET_DOCS = 128, 4096, 4096
 WEIGHTS, EPOCHS, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: One row for each source reaches the driver; more sources than this raise an error.
 MAX_SOURCES = 1_000_000
-#: numpy draws hypergeometric counts up to this population; above, a normal approximation is rounded.
-EXACT_BELOW = 1_000_000_000
+#: numpy draws hypergeometric counts of populations below this; larger ones are drawn by the ratio of uniforms, from the same law.
+NUMPY_BELOW = 1_000_000_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS, most: float = MOST) -> list[float]:
@@ -111,16 +112,51 @@ class Source:
         return out, np.where(j == last, n - less, n)
 
 
+def _grown(x: float, d: float) -> float:
+    """log Gamma(x + d) - log Gamma(x) by Stirling's series, without the loss of taking two large numbers apart."""
+    if min(x, x + d) < 1e4:
+        return math.lgamma(x + d) - math.lgamma(x)
+    return (x + d - 0.5) * math.log1p(d / x) + d * (math.log(x) - 1) + (1 / (x + d) - 1 / x) / 12
+
+
+def ratio_of_uniforms(rng: np.random.Generator, good: int, bad: int, m: int) -> int:
+    """A hypergeometric count of any size: how many of m drawn without return from good + bad are good.
+
+    Points are thrown at a box around the law's mode and kept under the law's own curve, so no approximation enters but
+    the rounding of logarithms.
+    """
+    total = good + bad
+    low, high = max(0, m - bad), min(m, good)
+    if low == high:
+        return low
+    p = good / total
+    mean, var = m * p, m * p * (1 - p) * (total - m) / max(1, total - 1)
+    mode = min(high, max(low, (m + 1) * (good + 1) // (total + 2)))
+    centre, width = mean + 0.5, math.sqrt(8 / math.e) * math.sqrt(var + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = rng.random(), rng.random()
+        if u == 0:
+            continue
+        k = math.floor(centre + width * (v - 0.5) / u)
+        if not low <= k <= high:
+            continue
+        d = float(k - mode)
+        # log of the law at k less that at the mode: factorials of k, good - k, m - k and bad - m + k
+        fall = _grown(mode + 1, d) + _grown(good - mode + 1, -d) + _grown(m - mode + 1, -d) + _grown(bad - m + mode + 1, d)
+        if 2 * math.log(u) <= -fall:
+            return k
+
+
 def draw(counts: np.ndarray, m: int, key: tuple[int, ...]) -> np.ndarray:
-    """How many of m slots fall to each source: multinomial, given that counts are left in all."""
+    """How many of m slots fall to each source: multinomial, given that counts are left in all. Exact at any size."""
     rng, total = np.random.default_rng([SEED, *key]), int(counts.sum())
-    if total < EXACT_BELOW:
+    if total < NUMPY_BELOW:
         return rng.multivariate_hypergeometric(counts, m, method="marginals")
-    p = counts / total
-    got = np.rint(m * p + rng.standard_normal(len(p)) * np.sqrt(m * p * (1 - p) * (total - m) / (total - 1)))
-    got = np.clip(got, np.maximum(0, m - (total - counts)), np.minimum(counts, m)).astype(np.int64)
-    for i in np.argsort(-counts, kind="stable"):
-        got[i] = np.clip(got[i] + m - got.sum(), 0, counts[i])
+    got = np.zeros(len(counts), np.int64)
+    for i, c in enumerate(counts.tolist()):
+        total -= c
+        got[i] = ratio_of_uniforms(rng, c, total, m) if m and c else 0
+        m -= int(got[i])
     return got
 
 
