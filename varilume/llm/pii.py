@@ -61,17 +61,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 #: Types of segments; the first is for single tokens outside of any entity.
 TYPES = ("other", *KINDS)
-#: Tokens that an entity spans at most: bounds the dynamic programme.
-MOST_TOKENS = 16
+#: Tokens that an entity spans at most: bounds the dynamic programme. STEP: tokens whose segments are scored at once.
+MOST_TOKENS, STEP = 16, 256
+#: What may stand between the chunks of one entity: a blank before a digit or a bracket.
+_BRIDGE = re.compile(r" (?=[0-9(])")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _TRIGGER, _BLANK = re.compile(r"[0-9@]"), re.compile(r"\s")
 _PHONE_SET, _N_FEATURES = re.compile(r"\+?[0-9 ().-]+"), 20
 
 
 def zones(text: str):
-    """(start, end) of chunks with a digit or @, with such neighbours as one blank parts from them.
+    """(start, end) of chunks with a digit or @, with the neighbours that a bridge joins to them.
 
-    Nothing outside of a zone can be in an entity, so decoding each zone alone is exact.
+    The field looks for entities within zones alone: a wider gap than a bridge ends one.
     """
     pos = 0
     while m := _TRIGGER.search(text, pos):
@@ -84,10 +86,9 @@ def zones(text: str):
         while True:
             b = _BLANK.search(text, end)
             end = b.start() if b else len(text)
-            nxt = _BLANK.search(text, end + 1)
-            stop = nxt.start() if nxt else len(text)
-            if b and b[0] == " " and stop > end + 1 and (text[end + 1] in "0123456789("):
-                end = stop
+            if b and (m2 := _BRIDGE.match(text, end)):
+                nxt = _BLANK.search(text, m2.end())
+                end = nxt.start() if nxt else len(text)
                 continue
             break
         yield start, end
@@ -108,6 +109,49 @@ def features(s: str, left: str, right: str) -> np.ndarray:
     return np.array(x, float)
 
 
+def entity_like(s: str) -> bool:
+    """An entity starts with a digit, a letter, + or ( and ends with a digit or a letter, and needs six characters."""
+    return len(s) >= 6 and s[-1].isalnum() and (s[0].isalnum() or s[0] in "+(") and any(c.isdigit() or c == "@" for c in s)
+
+
+def decode(text: str, start: int, end: int, w: np.ndarray) -> list[tuple[int, int, str]]:
+    """The highest-scoring segmentation of text[start:end], boundaries and types together: what Lattice(..).best gives.
+
+    Segments are scored for STEP tokens at a time, so that a chunk without blanks, however long, needs two numbers a token.
+    """
+    cuts = [start + m.start() for m in _TOKEN.finditer(text, start, end)] + [end]
+    n = len(cuts) - 1
+    score, back = [0.0] * (n + 1), [(0, 0)] * (n + 1)
+    for first in range(1, n + 1, STEP):
+        rows, segments = [], []
+        for j in range(first, min(n, first + STEP - 1) + 1):
+            b = cuts[j]
+            for i in range(max(0, j - MOST_TOKENS), j):
+                a = cuts[i]
+                s = text[a:b]
+                entity = entity_like(s)
+                if j == i + 1 or entity:
+                    segments.append((i, j, entity))
+                    rows.append(features(s, text[a - 1 : a], text[b : b + 1]))
+        x = np.array(rows) @ w.T
+        long_, plain = np.array([j > i + 1 for i, j, _ in segments]), np.array([not e for *_, e in segments])
+        x[long_, 0] = -np.inf
+        x[plain, 1:] = -np.inf
+        last = 0
+        for (i, j, _), top, kind in zip(segments, x.max(1).tolist(), x.argmax(1).tolist(), strict=True):
+            if j != last:
+                score[j], last = -np.inf, j
+            if score[i] + top > score[j]:
+                score[j], back[j] = score[i] + top, (i, kind)
+    out, j = [], n
+    while j:
+        i, kind = back[j]
+        if kind:
+            out.append((cuts[i], cuts[j], TYPES[kind]))
+        j = i
+    return out[::-1]
+
+
 class Lattice:
     """Candidate segments of a zone and their features; single tokens may be outside of entities."""
 
@@ -122,8 +166,7 @@ class Lattice:
             for j in range(i + 1, min(self.n, i + MOST_TOKENS) + 1):
                 b = self.cuts[j]
                 s = text[a:b]
-                # an entity starts with a digit, a letter, + or ( and ends with a digit or a letter, and needs six characters
-                entity = len(s) >= 6 and s[-1].isalnum() and (s[0].isalnum() or s[0] in "+(") and any(c.isdigit() or c == "@" for c in s)
+                entity = entity_like(s)
                 if j == i + 1 or entity:
                     self.by_end[j].append((i, len(rows)))
                     self.segments.append((i, j, entity))
@@ -238,14 +281,15 @@ def field_spans(text: str, w: np.ndarray) -> list[tuple[int, int, str]]:
     out = []
     for a, b in zones(text):
         if b - a >= 6:
-            out += Lattice(text, a, b).best(w)
+            out += decode(text, a, b, w)
     return out
 
 
 def all_spans(text: str, w: np.ndarray) -> tuple[list, list]:
     """Base spans, and those with the field's; one that both find counts once."""
     base = base_spans(text)
-    return base, base + [x for x in field_spans(text, w) if x not in set(base)]
+    held = set(base)
+    return base, base + [x for x in field_spans(text, w) if x not in held]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
