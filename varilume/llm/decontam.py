@@ -16,6 +16,8 @@ from varilume.llm.licenses import words
 LEAST_TILE, THRESHOLD = 5, 0.8
 #: Test items are taken in blocks of so many bytes at most, each in one pass over the documents.
 BLOCK_BYTES = 16_000_000
+#: Pairs of a seed's place in a text and in an item that are looked at together.
+SEEDS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,6 +50,9 @@ class Items:
                 seeds.append(h)
                 owner.append(np.full(len(h), k))
                 place.append(np.arange(len(h)))
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.uint64)
         h = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes = h[order]
@@ -74,56 +79,75 @@ class Items:
         at, h, lo = at[hit], h[hit], lo[hit]
         if not len(at):
             return {}
-        times = np.searchsorted(self.hashes, h, side="right") - lo
-        which = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        at = np.repeat(at, times)
-        owner, place = self.owner[which], self.place[which]
-        order = np.lexsort((at, at - place, owner))
-        owner, place, at = owner[order], place[order], at[order]
+        matches = self._matches(ids, at, lo, np.searchsorted(self.hashes, h, side="right") - lo)
         out: dict[int, float] = {}
+        owner = matches["owner"]
         for k in np.unique(owner):
             s = slice(np.searchsorted(owner, k), np.searchsorted(owner, k, side="right"))
-            covered = tile(self.tokens[k], ids, place[s], at[s], n)
+            covered = tile(self.sizes[k], len(ids), matches["place"][s], matches["at"][s], matches["length"][s], n)
             if covered:
                 # of items of one id the best counts
-                out[self.ids[k]] = max(out.get(self.ids[k], 0.0), covered / len(self.tokens[k]))
+                out[self.ids[k]] = max(out.get(self.ids[k], 0.0), covered / int(self.sizes[k]))
         return out
 
+    def _matches(self, ids: np.ndarray, at: np.ndarray, lo: np.ndarray, times: np.ndarray) -> dict[str, np.ndarray]:
+        """Matches that can't be made longer, by item: where a seed has no equal tokens before it, and how far it goes.
+
+        Seeds are met with their places SEEDS at a time and all but the first of each diagonal run are let go, so a text
+        that repeats a token against an item that does so needs room for its edges alone.
+        """
+        kept: list[tuple] = []
+        reach = np.cumsum(times)
+        done = 0
+        while done < len(at):
+            stop = max(done + 1, int(np.searchsorted(reach, (reach[done - 1] if done else 0) + SEEDS, side="right")))
+            t, m = times[done:stop], at[done:stop]
+            which = np.repeat(lo[done:stop], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+            m = np.repeat(m, t)
+            owner, place = self.owner[which], self.place[which]
+            spot = self.begin[owner] + place
+            head = (place == 0) | (m == 0)
+            head[~head] = self.flat[spot[~head] - 1] != ids[m[~head] - 1]
+            kept.append((owner[head], place[head], m[head]))
+            done = stop
+        owner, place, at = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((at, at - place, owner))
+        owner, place, at = owner[order], place[order], at[order]
+        length, live = np.zeros(len(at), np.int64), np.arange(len(at))
+        spot, room = self.begin[owner] + place, np.minimum(self.sizes[owner] - place, len(ids) - at)
+        while len(live):
+            live = live[length[live] < room[live]]
+            live = live[self.flat[spot[live] + length[live]] == ids[at[live] + length[live]]]
+            length[live] += 1
+        real = length >= self.least  # Karp-Rabin hashes may collide
+        return {"owner": owner[real], "place": place[real], "at": at[real], "length": length[real]}
+
 
-def tile(item: np.ndarray, ids: np.ndarray, place: np.ndarray, at: np.ndarray, least: int) -> int:
-    """Tokens of the item under greedy tiles: again and again the longest match of unmarked tokens on both sides.
+def tile(size: int, text_size: int, place: np.ndarray, at: np.ndarray, length: np.ndarray, least: int) -> int:
+    """Tokens of an item under greedy tiles: again and again the longest match of unmarked tokens on both sides.
 
-    place, at: starts of seeds in the item and the text, sorted by diagonal and then by at.
+    place, at, length: matches in the item and the text, sorted by diagonal and then by at; of equal lengths the first in the
+    item, then in the text, goes first.
     """
-    start = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(place) != 1)))
-    first = np.nonzero(start)[0]
-    last = np.concatenate((first[1:], [len(at)])) - 1
-    heap = []
-    for a, b in zip(first, last, strict=True):
-        p, t, length = int(place[a]), int(at[a]), int(at[b] - at[a]) + least
-        if (item[p : p + length] == ids[t : t + length]).all():  # Karp-Rabin hashes may collide
-            heap.append((-length, p, t))
+    heap = [(-n, p, t) for n, p, t in zip(length.tolist(), place.tolist(), at.tolist(), strict=True)]
     heapq.heapify(heap)
-    in_item, in_text = np.zeros(len(item), bool), {}
-    free = len(item)
+    in_item, in_text = np.zeros(size, bool), np.zeros(text_size, bool)
+    free = size
     while heap and free >= least:
-        length, p, t = heapq.heappop(heap)
-        length = -length
-        taken = in_item[p : p + length].copy()
-        for j in in_text:
-            if t <= j < t + length:
-                taken[j - t] = True
+        n, p, t = heapq.heappop(heap)
+        n = -n
+        taken = in_item[p : p + n] | in_text[t : t + n]
         if not taken.any():
-            in_item[p : p + length] = True
-            in_text.update(dict.fromkeys(range(t, t + length)))
-            free -= length
+            in_item[p : p + n] = True
+            in_text[t : t + n] = True
+            free -= n
             continue
         # what is left of it unmarked goes back to wait its turn
         edges = np.flatnonzero(np.diff(np.concatenate(([1], taken.astype(np.int8), [1]))))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
             if b - a >= least:
                 heapq.heappush(heap, (-int(b - a), p + int(a), t + int(a)))
-    return len(item) - free
+    return size - free
 
 
 def _blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
