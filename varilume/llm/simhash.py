@@ -66,6 +66,32 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
     return map_batches(documents(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), f, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
+def _segments(lanes: int, width: int) -> list[tuple[int, int]]:
+    return [(lane, at * width) for lane in range(lanes) for at in range(64 // width)]
+
+
+def _table(points: DataFrame, lanes: int, width: int, *more: str) -> DataFrame:
+    """points under each segment's value: s, v, key (both in one number), rep, f0.. and more."""
+    names = [f"f{i}" for i in range(lanes)]
+    parts = F.array(*(F.struct(F.lit(i).alias("s"), _value("", lane, at, width).alias("v")) for i, (lane, at) in enumerate(_segments(lanes, width))))
+    own = points.select("rep", *more, *names, F.explode(parts).alias("x")).select("rep", *more, *names, "x.s", "x.v")
+    return own.withColumn("key", F.expr(f"v | shiftleft(cast(s as bigint), {width})"))
+
+
+def stars(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
+    """(a, b): links of the points that share a segment's value to two of them, those of the least and the largest rep.
+
+    Two rows at most for each point and segment, however large a group; enough to join most of a group of near copies.
+    """
+    names = [f"f{i}" for i in range(lanes)]
+    own = _table(points, lanes, width)
+    one = F.struct("rep", *names)
+    ends = own.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y")).filter("x.rep != y.rep").select("key", F.explode(F.array("x", "y")).alias("c"))
+    far = own.select("key", F.col("rep").alias("b"), *(F.col(n).alias(f"b{n}") for n in names))
+    centre = ends.select("key", F.col("c.rep").alias("a"), *(F.col(f"c.{n}").alias(f"a{n}") for n in names))
+    return far.join(centre, "key").filter((F.col("a") != F.col("b")) & (_away(names) <= radius)).select("a", "b")
+
+
 def links(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
     """(a, b), labels of points (rep, label, f0..) of different labels whose fingerprints differ by radius bits at most.
 
@@ -74,23 +100,24 @@ def links(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
     as the other point of a pair makes the opposite one. With at least radius / 2 segments, rounded up,
     (radius // segments <= 1) no pair is missed; with fewer, the pairs missed are those with two
     or more differing bits in every segment. A pair is kept at its first segment within the ball only.
+    Probes of a value under which nothing but their own label stands are left out before points meet, so that a group
+    that has one label already costs no pairs.
     """
-    per = 64 // width
-    segments = [(lane, s * width) for lane in range(lanes) for s in range(per)]
-    names = [f"f{i}" for i in range(lanes)]
-    own = points.select("rep", "label", *names, F.explode(F.array(*(F.struct(F.lit(i).alias("s"), _value("", lane, sh, width).alias("v")) for i, (lane, sh) in enumerate(segments)))).alias("x")).select("rep", "label", *names, F.col("x.s").alias("s"), F.col("x.v").alias("v"))
-    key = f"shiftleft(cast(s as bigint), {width})"
-    tab = own.select(F.expr(f"v | {key}").alias("key"), F.col("rep").alias("b"), F.col("label").alias("lb"), *(F.col(n).alias(f"b{n}") for n in names))
+    segments, names = _segments(lanes, width), [f"f{i}" for i in range(lanes)]
+    own = _table(points, lanes, width, "label")
+    labels = own.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"))
     flips = F.expr(f"filter(transform(sequence(0, {width - 1}), i -> v | shiftleft(1L, i)), x -> x != v)")
     probe = own.select("s", "v", F.explode(F.concat(F.array("v"), flips)).alias("p"), F.col("rep").alias("a"), F.col("label").alias("la"), *(F.col(n).alias(f"a{n}") for n in names))
-    probe = probe.select(F.expr(f"p | {key}").alias("key"), (F.col("p") == F.col("v")).alias("exact"), "a", "la", *(f"a{n}" for n in names))
+    probe = probe.select(F.expr(f"p | shiftleft(cast(s as bigint), {width})").alias("key"), (F.col("p") == F.col("v")).alias("exact"), "a", "la", *(f"a{n}" for n in names))
+    probe = probe.hint("merge").join(labels, "key").filter("not (l1 = la and l2 = la)").drop("l1", "l2")
+    tab = own.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), *(F.col(n).alias(f"b{n}") for n in names))
 
-    def nearby(lane: int, shift: int) -> Column:
-        return F.bit_count(_value("a", lane, shift, width).bitwiseXOR(_value("b", lane, shift, width))) <= 1
+    def nearby(lane: int, at: int) -> Column:
+        return F.bit_count(_value("a", lane, at, width).bitwiseXOR(_value("b", lane, at, width))) <= 1
 
     first = reduce(lambda rest, i: F.when(nearby(*segments[i]), F.lit(i)).otherwise(rest), reversed(range(len(segments))), F.lit(-1))
     on = (probe["key"] == tab["key"]) & (~F.col("exact") | (F.col("a") < F.col("b"))) & (F.col("la") != F.col("lb")) & (_away(names) <= radius) & (first == F.shiftright(tab["key"], width))
-    return probe.hint("merge").join(tab, on).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    return probe.join(tab.hint("merge"), on).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
 
 
 def _value(prefix: str, lane: int, shift: int, width: int) -> Column:
@@ -101,20 +128,12 @@ def _away(names: list[str]) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names))
 
 
-def first_links(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
-    """(a, b): those links alone whose fingerprints share the first segment's value, a small part of a large group's."""
-    names = [f"f{i}" for i in range(lanes)]
-    side = lambda p: points.select(_value("", 0, 0, width).alias("key"), F.col("rep").alias(p), *(F.col(n).alias(f"{p}{n}") for n in names))
-    a, b = side("a"), side("b")
-    return a.hint("merge").join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (_away(names) <= radius)).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 3, width: int = 16, radius: int = 27) -> DataFrame:
     """One row per document: (doc_id, f0.., component_id), the smallest doc_id reachable by links.
 
     The default takes 5-word shingles and 192 bits; 27 differing bits stand for a Jaccard likeness of
     about 0.82, with the sketch's error, and its 12 segments miss some pairs beyond 23 bits. Equal fingerprints meet in one
-    point, so copies cost no pairs. A large group of near copies is first joined by the few links of one segment; the
+    point, so copies cost no pairs. A large group of near copies is first joined by stars within each segment's values; the
     search over all segments then leaves out pairs that are joined already, which changes no component.
     Null and empty texts have fingerprint 0 and are linked like any other; of repeated doc_ids each row is
     returned; no documents give no rows.
@@ -122,7 +141,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 3, width: int
     names = [f"f{i}" for i in range(lanes)]
     marks = cut(fingerprints(docs, words, lanes))
     points = cut(marks.groupBy(*names).agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
-    early = components(first_links(points, lanes, width, radius), "a", "b")
+    early = components(stars(points, lanes, width, radius), "a", "b")
     points = cut(points.join(early, points["rep"] == early["node"], "left").select("rep", *names, F.coalesce("component", "rep").alias("label")))
     comp = components(links(points, lanes, width, radius), "a", "b")
     named = points.join(comp, points["label"] == comp["node"], "left").select(*names, F.coalesce("component", "label").alias("component_id"))
