@@ -1,8 +1,13 @@
 """What a shorter job would miss: results on cases at the bounds, against brute force."""
 
+import math
 import random
+import zlib
 
-from varilume.llm import alike, decontam, licenses, mixing, secrets, simhash, substrings
+import numpy as np
+import pytest
+
+from varilume.llm import alike, decontam, licenses, mixing, pii, secrets, simhash, substrings, toxicity
 
 
 def jaccard(a, b):
@@ -54,8 +59,6 @@ def test_wrapped_templates():
 
 
 def test_runs_travel_with_their_whole_hash(spark):
-    import numpy as np
-
     r = random.Random(7)
     texts = ["".join(r.choice("abcdefghijklmnop") for _ in range(300)) for _ in range(12)]
     want = sorted(int(x) for x in substrings.runs([t.encode() for t in texts])[4])
@@ -97,3 +100,99 @@ def test_blocks_of_test_items(spark, monkeypatch):
 def test_repeated_empty_rows_have_places(spark):
     rows = [(1, "", "a"), (1, "", "a"), (2, None, "a"), (2, None, "a"), (None, "", "a"), (None, "", "a"), (3, "one two", "a")]
     assert mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == len(rows)
+
+
+def test_counts_of_any_size_follow_the_hypergeometric_law(monkeypatch):
+    """The ratio of uniforms against the law itself, and the halving above numpy's bound."""
+    rng = np.random.default_rng(5)
+    for good, bad, m in ((30, 50, 20), (400, 30, 100), (5, 1000, 300), (7, 3, 9)):
+        got = np.bincount([mixing.ratio_of_uniforms(rng, good, bad, m) for _ in range(20_000)], minlength=m + 1) / 20_000
+        law = np.array([math.comb(good, k) * math.comb(bad, m - k) / math.comb(good + bad, m) for k in range(m + 1)])
+        assert np.abs(got - law).max() < 5 * math.sqrt(0.25 / 20_000)
+    big = [mixing.ratio_of_uniforms(rng, 3 * 10**11, 10**11, 2 * 10**11) for _ in range(400)]
+    sd = math.sqrt(2e11 * 0.75 * 0.25 * 0.5)
+    assert abs(np.mean(big) - 1.5e11) < 5 * sd / 20 and 0.85 < np.std(big) / sd < 1.15
+    monkeypatch.setattr(mixing, "NUMPY_BELOW", 10)
+    counts = np.array([50, 0, 170, 4])
+    parts = list(mixing.shard_counts(counts, 0, 23, 10))
+    assert sum(c for _, c, _ in parts).tolist() == counts.tolist() and all(c.sum() == 10 for _, c, _ in parts[:-1])
+    assert [c.tolist() for _, c, _ in mixing.shard_counts(counts, 7, 9, 10)] == [c.tolist() for _, c, _ in parts[7:9]]
+
+
+def test_near_copies_are_linked_without_pairs(spark):
+    """A group whose fingerprints all lie within three bits of each other or of a middle one: components equal to all pairs."""
+    r = random.Random(8)
+    base, far = r.getrandbits(64), r.getrandbits(64)
+    flip = lambda x, k: x ^ sum(1 << b for b in r.sample(range(64), k))
+    points = list({base, far, *(flip(base, r.choice((1, 2))) for _ in range(300)), *(flip(far, 3) for _ in range(60)), *(r.getrandbits(64) for _ in range(100))})
+    signed = [x - (1 << 64) if x >> 63 else x for x in points]
+    df = spark.createDataFrame([(i, x, i) for i, x in enumerate(signed)], "rep long, f0 long, label long").repartition(4)
+    comp = list(range(len(points)))
+    root = lambda x: x if comp[x] == x else root(comp[x])
+    near = [(i, j) for i in range(len(points)) for j in range(i) if bin(points[i] ^ points[j]).count("1") <= 3]
+    for i, j in near:
+        a, b = sorted((root(i), root(j)))
+        comp[b] = a
+    star = {tuple(sorted(x)) for x in simhash.stars(df, 1, 32, 3).collect()}
+    assert star <= {(j, i) for i, j in near} and len(star) <= 4 * len(points) < len(near)
+    from varilume.llm.components import components
+
+    got = {i: i for i in range(len(points))} | {x.node: x.component for x in components(simhash.links(df, 1, 32, 3), "a", "b").collect()}
+    assert got == {i: root(i) for i in range(len(points))}
+    early = components(simhash.stars(df, 1, 32, 3), "a", "b")
+    labelled = df.drop("label").join(early, df["rep"] == early["node"], "left").selectExpr("rep", "f0", "coalesce(component, rep) AS label")
+    rest = simhash.links(labelled, 1, 32, 3).collect()
+    label = {x.rep: x.label for x in labelled.collect()}
+    assert all(root(a) == root(b) and a != b for a, b in rest) and len(rest) < len(points)
+    joined = {root(a) for a in label.values()}
+    assert joined == {root(i) for i in range(len(points))}
+
+
+def test_decoding_in_steps_equals_the_whole_lattice(monkeypatch):
+    w = np.array(pii.weights())
+    monkeypatch.setattr(pii, "STEP", 3)
+    for text, _ in pii._examples(120, 5):
+        assert pii.decode(text, 0, len(text), w) == pii.Lattice(text).best(w)
+    monkeypatch.undo()
+    long_ = "a1b2c3-" * 3000 + " jo@mail.example.org"
+    assert (len(long_) - 19, len(long_), "email") in pii.all_spans(long_, w)[1]
+
+
+def test_repeated_tokens_need_no_pairs():
+    item, text = b"la " * 400 + b"end", b"la " * 40_000
+    items = decontam.Items([(1, item)])
+    assert items.coverage(text) == {1: 400 / 401}
+    ids = np.array([1] * 40_000, np.uint64)
+    at = np.arange(len(ids) - 4)
+    lo = np.searchsorted(items.hashes, np.full(len(at), items.hashes[0]))
+    assert len(items._matches(ids, at, lo, np.full(len(at), 396))["at"]) <= 40_400
+
+
+def test_decontamination_query_equals_brute_force(spark, tmp_path):
+    from tests.llm.test_brute_force import tiles
+
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(200)}"
+    items = [[word() for _ in range(r.randint(6, 20))] for _ in range(12)]
+    docs = [[word() for _ in range(r.randint(0, 30))] + (x := list(r.choice(items)))[: r.randint(0, len(x))] + [word() for _ in range(5)] for _ in range(40)]
+    spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x.doc_id: x for x in decontam.op4_decontamination(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, d in enumerate(docs):
+        share = [tiles(x, d, 5) / len(x) for x in items]
+        assert got[i].coverage == pytest.approx(max(share)) and got[i]["items"] == [k for k, v in enumerate(share) if v >= 0.8] and got[i].n_items == len(got[i]["items"])
+
+
+def test_toxicity_query(spark, tmp_path):
+    """held_out by checksum, predicted by the score, and held-out accuracy on words that say it."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("bcdfgklmn") + r.choice("aeiou") for _ in range(2))
+    rows = [(i, " ".join([word() for _ in range(40)] + (["vile", "nasty", "vile"] if i % 4 == 0 else []))) for i in range(800)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    assert sorted(x.doc_id for x in got) == list(range(800))
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) and x.predicted == int(x.score >= 0.3) and 0 <= x.score <= 1 for x in got)
+    held = [x for x in got if x.held_out]
+    assert sum((x.doc_id % 4 == 0) == bool(x.predicted) for x in held) >= 0.95 * len(held)
