@@ -50,6 +50,17 @@ def test_near_duplicates_at_the_bound(spark, monkeypatch):
     assert {x.doc_id for x in simhash.drop_near_duplicates(df).collect()} == set(want.values())
 
 
+def test_parity_masks_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 200, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.0, 0.1, 0.9):
+            b = np.unique(np.concatenate((a[rng.random(len(a)) >= share], rng.integers(0, 1 << 63, int(share * n)).astype(np.uint64))))
+            differ = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in alike.parities(a) ^ alike.parities(b))
+            assert differ <= len(np.setxor1d(a, b)) and (len(np.setxor1d(a, b)) - differ) % 2 == 0
+            assert differ >= 0.8 * len(np.setxor1d(a, b)) or len(np.setxor1d(a, b)) > 200
+
+
 def test_wrapped_templates():
     index = licenses.Index(licenses.TEMPLATES, {})
     bsd = b"Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"
