@@ -61,6 +61,52 @@ def test_parity_masks_bound_the_difference():
             assert differ >= 0.8 * len(np.setxor1d(a, b)) or len(np.setxor1d(a, b)) > 200
 
 
+def test_wide_masks_bound_the_difference_at_any_size():
+    rng = np.random.default_rng(5)
+    bits = lambda x: sum(bin(int(w) & (1 << 64) - 1).count("1") for w in x)
+    assert not len(alike.wide(np.arange(1000, dtype=np.uint64)))
+    for n, m in ((3000, 3000), (5800, 5900), (20_000, 24_000)):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.02, 0.1, 1.0):
+            b = np.unique(np.concatenate((a[rng.random(len(a)) >= share], rng.integers(0, 1 << 63, m - int((1 - share) * n)).astype(np.uint64))))
+            x, y = sorted((alike.wide(a), alike.wide(b)), key=len)
+            y = np.bitwise_xor.reduce(y.reshape(-1, len(x)))
+            differ = len(np.setxor1d(a, b))
+            assert len(x) > alike.MASK and bits(x ^ y) <= differ
+            # sets with nothing in common are told apart
+            assert share < 1 or 9 * bits(x ^ y) > len(a) + len(b)
+
+
+def test_large_sets_under_frequent_keys(spark):
+    r = random.Random(8)
+    prose = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    passage, texts = prose(300), []
+    # sizes on both sides of where a wide mask doubles, all with one passage
+    for size in (1300, 1460, 2700, 2950, 3600):
+        for _ in range(6):
+            w = prose(size - 300) + passage
+            texts.append(" ".join(w))
+            for share in (0.015, 0.022, 0.03):
+                other = list(w)
+                for at in r.sample(range(size), round(size * share)):
+                    other[at] = "edited"
+                texts.append(" ".join(other + prose(r.randrange(60))))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    comp = list(range(len(texts)))
+    root = lambda x: x if comp[x] == x else root(comp[x])
+    near = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            near += 0.75 < both / (len(sets[a]) + len(sets[b]) - both) < 0.85
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                comp[y] = x
+    assert near > 20 and len({root(i) for i in range(len(texts))}) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.component_id for x in alike.near_duplicates(df).collect()} == {i: root(i) for i in range(len(texts))}
+
+
 def test_wrapped_templates():
     index = licenses.Index(licenses.TEMPLATES, {})
     bsd = b"Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"
