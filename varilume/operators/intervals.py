@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BIN = 2048
 #: Rows that span more bins are joined on coarser bins, so no row is copied more often than this.
 MOST_BINS = 64
+#: Bases that unions and searches for the last interval put in order at once.
+STRETCH = 1 << 18
 
 
 def _levels(start: Column, end: Column, width: int) -> Column:
@@ -54,21 +56,44 @@ def overlap_join(left: DataFrame, right: DataFrame, region: str, left_span: tupl
     return out.select(*left.columns, *(c for c in right.columns if c != region))
 
 
-def interval_union(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """(by.., start, end): overlapping or touching intervals merged, by the running maximum of the ends before."""
-    w = Window.partitionBy(*by).orderBy(start, end)
+def interval_union(df: DataFrame, by: list[str], start: str, end: str, width: int = STRETCH) -> DataFrame:
+    """(by.., start, end): overlapping or touching intervals merged, by the running maximum of the ends before.
+
+    Each stretch of width bases of a region is merged by itself, given the furthest end of the stretches before it; what runs on from
+    those is one interval for each stretch, added to the last one that began before. Windows over a whole region see one row for each
+    stretch. Rows without a start or an end are left out; nulls in by are a group of their own.
+    """
+    rows = df.select(*by, start, end).filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_bin", F.floor(F.col(start) / width))
+    earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*by, "_bin").agg(F.max(end).alias("_reach")).withColumn("_reach", F.max("_reach").over(earlier)).filter("_reach is not null")
+    # what reaches a stretch stands before its rows
+    every = rows.withColumn("_own", F.lit(True)).unionByName(reach.select(*by, F.lit(None).cast(rows.schema[start].dataType).alias(start), F.col("_reach").alias(end), "_bin", F.lit(False).alias("_own")))
+    w = Window.partitionBy(*by, "_bin").orderBy("_own", start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(*by, start, end, (before.isNull() | (F.col(start) > before + 1)).cast("int").alias("_new"))
-    grouped = marked.withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return grouped.groupBy(*by, "_group").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_group")
+    marked = every.withColumn("_new", F.when(F.col("_own") & (before.isNull() | (F.col(start) > before + 1)), F.col(start)))
+    first = F.last("_new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pieces = marked.withColumn("_first", first).filter("_own").groupBy(*by, "_bin", "_first").agg(F.max(end).alias("_end"))
+    stretches = pieces.groupBy(*by, "_bin").agg(F.max("_first").alias("_last"), F.max(F.when(F.col("_first").isNull(), F.col("_end"))).alias("_end"))
+    run_on = stretches.withColumn("_first", F.last("_last", ignorenulls=True).over(earlier)).filter("_end is not null")
+    both = pieces.filter("_first is not null").select(*by, "_first", "_end").unionByName(run_on.select(*by, "_first", "_end"))
+    return both.groupBy(*by, F.col("_first").alias(start)).agg(F.max("_end").alias(end))
 
 
-def asof_interval(points: DataFrame, intervals: DataFrame, by: str, position: str, start: str, end: str) -> DataFrame:
+def asof_interval(points: DataFrame, intervals: DataFrame, by: str, position: str, start: str, end: str, width: int = STRETCH) -> DataFrame:
     """points with the disjoint interval that starts last at or before them (start, end, or null), and inside: whether it reaches
-    the point. Both sides are one stream by position, so the join is a window's running last value."""
-    both = points.select(F.col(by), F.col(position).alias("_at"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_point"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("_interval")).unionByName(
-        intervals.select(F.col(by), F.col(start).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(points.select(F.struct(*points.columns).alias("x")).schema["x"].dataType).alias("_point"), F.struct(F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e")).alias("_interval"))
-    )
-    w = Window.partitionBy(by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = both.withColumn("_last", F.last("_interval", ignorenulls=True).over(w)).filter("_side = 1")
+    the point. Both sides are one stream by position within each stretch of width bases, so the join is a window's running last
+    value; the last interval of the stretches before comes first. Windows over a whole region see one row for each stretch."""
+    stretch = lambda c: F.floor(F.col(c) / width).alias("_bin")
+    interval = F.struct(F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
+    none = F.lit(None).cast("struct<s:bigint,e:bigint>")
+    point = points.select(F.struct(*points.columns).alias("x")).schema["x"].dataType
+    mine = points.select(F.col(by), stretch(position), F.col(position).cast("bigint").alias("_at"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_point"), none.alias("_interval"))
+    known = intervals.filter(F.col(start).isNotNull()).select(F.col(by), stretch(start), interval.alias("_interval"))
+    # stretches of either side, with the last interval that starts in each, and then in those before
+    ends = known.unionByName(points.select(F.col(by), stretch(position), none.alias("_interval"))).groupBy(by, "_bin").agg(F.max("_interval").alias("_interval"))
+    earlier = Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_interval", F.last("_interval", ignorenulls=True).over(earlier)).filter("_interval is not null")
+    theirs = known.unionByName(carried.select(by, "_bin", "_interval")).select(by, "_bin", F.col("_interval.s").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(point).alias("_point"), "_interval")
+    w = Window.partitionBy(by, "_bin").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = mine.unionByName(theirs).withColumn("_last", F.last("_interval", ignorenulls=True).over(w)).filter("_side = 1")
     return got.select("_point.*", F.col("_last.s").alias(start), F.col("_last.e").alias(end), F.coalesce(F.col("_last.e") >= F.col("_at"), F.lit(False)).alias("inside"))
