@@ -33,7 +33,8 @@ def overlap_join(left: DataFrame, right: DataFrame, region: str, left_span: tupl
     first bin that both meet, so that none comes twice. Rows that span many bins use bins of 64, 4096.. times the
     width. A left row stands at its own level, and at those coarser ones alone on which right rows live, so that the left side,
     meant to be the large one, isn't copied where the right one is short; a right row stands at all coarser levels. Column names of the two sides must differ but for region.
-    Spans may be reversed by one (interbase sites). Null regions or ends pair with nothing.
+    Spans may be reversed by one (interbase sites). Null regions or ends pair with nothing. The sides meet by a sort-merge join: the
+    size of the right one is guessed from its files, which its generated columns and copies outgrow, and a broadcast of it would pass through the driver.
     """
     ls, le = (F.least(F.col(left_span[0]), F.col(left_span[1])) - halo).cast("long"), (F.greatest(F.col(left_span[0]), F.col(left_span[1])) + halo).cast("long")
     rs, re_ = F.least(F.col(right_span[0]), F.col(right_span[1])).cast("long"), F.greatest(F.col(right_span[0]), F.col(right_span[1])).cast("long")
@@ -52,7 +53,7 @@ def overlap_join(left: DataFrame, right: DataFrame, region: str, left_span: tupl
     rights = rights.withColumn("_rbin", F.explode(F.sequence(F.floor(F.col("_rs") / F.col("_rw")), F.floor(F.col("_re") / F.col("_rw"))))).withColumnRenamed(region, "_region")
     first = F.floor(F.greatest(F.col("_ls"), F.col("_rs")) / F.col("_w"))
     on = (F.col(region) == F.col("_region")) & (F.col("_lvl") == F.col("_rlvl")) & (F.col("_tag") == F.col("_rtag")) & (F.col("_bin") == F.col("_rbin")) & (F.col("_bin") == first) & (F.col("_rs") <= F.col("_le")) & (F.col("_re") >= F.col("_ls"))
-    out = lefts.join(rights, on)
+    out = lefts.join(rights.hint("merge"), on)
     return out.select(*left.columns, *(c for c in right.columns if c != region))
 
 
