@@ -49,7 +49,7 @@ def coding_calls(records: DataFrame, regions: DataFrame, transcripts: DataFrame)
     e = r.withColumn("POS", bad).select("*", F.posexplode("ALT").alias("at", "alternate")).filter(F.col("alternate").rlike("^[ACGTNacgtn]+$") & F.col("REF").rlike("^[ACGTNacgtn]+$") & (F.upper("alternate") != F.upper("REF")))
     e = e.withColumns({"event_index": F.col("ordinal") * 64 + F.col("at"), "position": F.col("POS"), "reference": F.col("REF")})
     touched = coding_transcripts(e.select("event_index", "seq_region", "position", "reference", "alternate"), transcripts).select("event_index", F.explode("transcripts").alias("transcript_index"))
-    e = e.join(touched, "event_index")
+    e = e.join(touched.hint("merge"), "event_index")
     place = F.array_position(F.split("FORMAT", ":"), "GT") - 1
     place = F.when(F.coalesce(place, F.lit(-1)) < 0, F.raise_error(F.lit("coding_calls: a record that touches a coding transcript has no GT"))).otherwise(place)
     ps = F.array_position(F.split("FORMAT", ":"), "PS") - 1
