@@ -6,7 +6,7 @@ from varilume.plans.registry import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["coding_calls", "coding_transcripts"])
+@pytest.mark.parametrize("name", ["coding_calls", "haplotype_consequences", "coding_transcripts", "haplotypes_core"])
 def test_transcripts_are_not_broadcast(spark, name):
     """At sf0.001 all sizes lie under the default threshold; a plan that goes by them would broadcast transcripts at any size of model."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
