@@ -107,6 +107,27 @@ def test_large_sets_under_frequent_keys(spark):
     assert {x.doc_id: x.component_id for x in alike.near_duplicates(df).collect()} == {i: root(i) for i in range(len(texts))}
 
 
+def test_sort_sees_shared_windows_alone(monkeypatch):
+    """Of runs that share a hash, what stands in one document only is left out before the suffix sort; the rest comes out as by brute force."""
+    r = random.Random(6)
+    passage = bytes(r.choice(b"abcdef ") for _ in range(70))
+    strings = [bytes(r.choice(b"uvwxyz ") for _ in range(900)) + passage[r.randrange(3) :] + bytes(r.choice(b"uvwxyz ") for _ in range(900)) for _ in range(30)]
+    asks = np.zeros(30, substrings.ASK)
+    asks["key"], asks["doc_id"], asks["n"] = np.arange(30), np.arange(30)[::-1] // 2, [len(s) - 49 for s in strings]
+    least = {}
+    for i, s in zip(asks["doc_id"].tolist(), strings, strict=True):
+        for k in range(len(s) - 49):
+            least[s[k : k + 50]] = min(i, least.get(s[k : k + 50], i))
+    want = {(k, at) for k, (i, s) in enumerate(zip(asks["doc_id"].tolist(), strings, strict=True)) for at in range(len(s) - 49) if i > least[s[at : at + 50]]}
+    seen, sort = [], substrings.induced.repeats
+    monkeypatch.setattr(substrings.induced, "repeats", lambda x, n: seen.append(sum(map(len, x))) or sort(x, n))
+    for size in (1 << 20, 500):
+        monkeypatch.setattr(substrings, "SORT_BYTES", size)
+        got = {(int(x["key"]), int(x["start"]) + j) for x in substrings._gone(asks, strings) for j in range(int(x["n"]))}
+        assert got == want and len(want) > 500
+    assert max(seen) < sum(map(len, strings)) / 10
+
+
 def test_wrapped_templates():
     index = licenses.Index(licenses.TEMPLATES, {})
     bsd = b"Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"

@@ -118,6 +118,15 @@ def _pieces(texts: list[bytes]):
         yield group
 
 
+def _planes(column: np.ndarray) -> bytes:
+    """Bytes of a column by their place in a number: the high ones are mostly zero and compress to nothing on the wire."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(-1, column.dtype.itemsize).T.tobytes()
+
+
+def _from_planes(blob: bytes, kind: np.dtype, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
 def _deal(docs: DataFrame, shards: int) -> DataFrame:
     """(shard, docs, runs, spans): runs of each batch by shard. Of equal runs of a batch only those of the least doc_id
     go on to be compared; the others are repeats already and go as bare spans."""
@@ -151,7 +160,7 @@ def _deal(docs: DataFrame, shards: int) -> DataFrame:
             out["start"], out["n"] = start[part][go], n[part][go]
             more = np.zeros(int(bare.sum()), SPAN)
             more["key"], more["start"], more["n"] = keys[doc[part][bare]], start[part][bare], n[part][bare]
-            for col, v in zip(rows, (int(s), np.stack((keys[used], ids[used])).tobytes(), b"".join(out[c].tobytes() for c in RUN.names), more.tobytes()), strict=True):
+            for col, v in zip(rows, (int(s), np.stack((keys[used], ids[used])).tobytes(), b"".join(_planes(out[c]) for c in RUN.names), more.tobytes()), strict=True):
                 col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["shard", "docs", "runs", "spans"])
 
@@ -178,7 +187,7 @@ def _compare(dealt: DataFrame, buckets: int) -> DataFrame:
             keys, ids = np.frombuffer(docs, np.int64).reshape(2, -1)
             m, pos, r = len(blob) // RUN.itemsize, 0, {}
             for c in RUN.names:
-                r[c] = np.frombuffer(blob, RUN[c], m, pos)
+                r[c] = _from_planes(blob, RUN[c], m, pos)
                 pos += m * RUN[c].itemsize
             cols["value"].append((r["high"].astype(np.uint64) << np.uint64(16)) | r["low"])
             cols["whole"].append(r["whole"])
@@ -243,8 +252,65 @@ def _fetch(texts: DataFrame, asks: DataFrame) -> DataFrame:
     return texts.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(f, "shard long, asks binary, bytes binary")
 
 
+def _windows(strings: list[bytes]) -> np.ndarray:
+    """Hashes of all windows of the strings, one string after the other."""
+    x = _TABLE[np.frombuffer(b"".join(strings), np.uint8)]
+    h, size = x, 1
+    for bit in bin(LENGTH)[3:]:
+        h, size = h[:-size] * _power(size) + h[size:], 2 * size
+        if bit == "1":
+            h, size = h[:-1] * _M + x[size:], size + 1
+    inside = np.ones(len(h), bool)
+    for e in np.cumsum([len(s) for s in strings])[:-1]:
+        inside[e - LENGTH + 1 : e] = False
+    return _mix(h[inside])
+
+
+def _shared(asks: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The stretches of the strings that hold windows which may stand in a string of another doc_id, as asks and strings of their own.
+
+    Windows are told apart by a 64-bit hash. Equal windows have one hash, so none that repeats is left out; the sort
+    decides on bytes. It sees what is shared, however many distinct surroundings one passage has.
+    """
+    count = np.array([len(s) for s in strings], np.int64) - LENGTH + 1
+    first = np.cumsum(count) - count
+    total = int(count.sum())
+    h, held = np.empty(total, np.uint64), 0
+    for part in np.split(np.arange(len(strings)), np.searchsorted(first, np.arange(SORT_BYTES, total, SORT_BYTES))):
+        if len(part):
+            got = _windows([strings[i] for i in part])
+            h[held : held + len(got)] = got
+            held += len(got)
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), count)
+    keep = np.zeros(total, bool)
+    # a share of the hashes at a time, so that large groups need little more than 13 bytes a window
+    shares = np.uint64(-(-total // (4 * SORT_BYTES)))
+    for k in range(int(shares)):
+        use = np.flatnonzero(h % shares == k) if shares > 1 else np.arange(total)
+        if len(use):
+            use = use[np.argsort(h[use])]
+            new = np.flatnonzero(np.concatenate(([True], h[use[1:]] != h[use[:-1]])))
+            ids = asks["doc_id"][owner[use]]
+            several = np.minimum.reduceat(ids, new) < np.maximum.reduceat(ids, new)
+            keep[use] = np.repeat(several, np.diff(np.append(new, len(use))))
+    del h
+    kept = np.flatnonzero(keep)
+    if not len(kept):
+        return asks[:0], []
+    edge = np.flatnonzero(np.concatenate(([True], (np.diff(kept) != 1) | (owner[kept][1:] != owner[kept][:-1]))))
+    start, n = kept[edge], np.diff(np.append(edge, len(kept)))
+    out = asks[owner[start]].copy()
+    offset = start - first[owner[start]]
+    out["start"] = asks["start"][owner[start]] + offset
+    out["n"] = n
+    return out, [strings[o][a : a + m + LENGTH - 1] for o, a, m in zip(owner[start].tolist(), offset.tolist(), n.tolist(), strict=True)]
+
+
 def _gone(asks: np.ndarray, strings: list[bytes]) -> np.ndarray:
     """Spans of the strings' windows that one of a smaller doc_id holds too."""
+    asks, strings = _shared(asks, strings)
+    if not strings:
+        return np.zeros(0, SPAN)
     string, start, which = induced.repeats(strings, LENGTH)
     if not len(string):
         return np.zeros(0, SPAN)
