@@ -15,7 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups of 5-word shingle sets of Jaccard likeness 0.8 or more; the smallest doc_id of each stays."""
+    """Operator 1's SimHash with an exact check, and what it misses of Jaccard likeness 0.8 or more; of each group the smallest doc_id stays."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -107,6 +107,27 @@ def test_large_sets_under_frequent_keys(spark):
     assert {x.doc_id: x.component_id for x in alike.near_duplicates(df).collect()} == {i: root(i) for i in range(len(texts))}
 
 
+def test_simhash_takes_part_in_near_dedup(spark, monkeypatch):
+    r = random.Random(12)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(150)) for _ in range(40)]
+    texts += [" ".join([*t.split()[:-1], "other"]) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    # without the join by prefixes, SimHash and the exact check still find most pairs with one word changed, and no other
+    none = spark.createDataFrame([], "kind long, key long, a long, b long, n long, pos long")
+    monkeypatch.setattr(alike, "_candidates", lambda dealt: none)
+    kept = {x.doc_id for x in simhash.drop_near_duplicates(df).collect()}
+    assert set(range(40)) <= kept and len(kept) <= 52
+
+
+def test_candidates_by_multi_index_hashing(spark):
+    r = random.Random(13)
+    points = [(i, r.getrandbits(63)) for i in range(30)]
+    # one bit of the low half differs, and none, 3 or 20 of the high half
+    points += [(100 * k + i, f ^ 1 << i % 10 ^ sum(1 << 32 + b for b in r.sample(range(31), n))) for k, n in ((1, 0), (2, 3), (3, 20)) for i, f in points[10 * k - 10 : 10 * k]]
+    got = {(x.a, x.b) for x in simhash.candidates(spark.createDataFrame(points, "rep long, f0 long"), 1, 32, 16).collect()}
+    assert got >= {(i, 100 + i) for i in range(10)} | {(i, 200 + i) for i in range(10, 20)} and not {(i, 300 + i) for i in range(20, 30)} & got
+
+
 def test_sort_sees_shared_windows_alone(monkeypatch):
     """Of runs that share a hash, what stands in one document only is left out before the suffix sort; the rest comes out as by brute force."""
     r = random.Random(6)

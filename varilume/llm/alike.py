@@ -1,4 +1,7 @@
-"""Documents of like shingle sets: an exact Jaccard join by prefix, length and positional filters, and its components.
+"""Documents of like shingle sets: pairs by SimHash and multi-index hashing, an exact Jaccard join for the rest, and components.
+
+SimHash gives pairs of near fingerprints first; they are kept on their whole sets. It misses some pairs near LEAST, which
+a join by prefix, length and positional filters adds.
 
 Each set is put into one order for all, common shingles last. Sets of a Jaccard likeness of LEAST or more share one of the
 first n - ceil(LEAST n) + 1 at least, so no pair is missed, and each candidate is kept on its whole sets alone. Before
@@ -30,6 +33,8 @@ SAMPLE, OFTEN, COMMON = 8_000, 3, 50_000
 BUCKET_BYTES = 8 << 20
 #: Words of 64 bits of a set's parity mask, and bits for ten shingles that a wide mask has at least.
 MASK, DENSE = 16, 7
+#: SimHash of sets: segments' width, and bits that a candidate pair may differ in; 16 of 64 are some 2 deviations beyond the mean at LEAST.
+WIDTH, RADIUS = 32, 16
 ENTRY = np.dtype([("key", "<i8"), ("point", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
@@ -90,15 +95,17 @@ def wide(h: np.ndarray) -> np.ndarray:
 
 
 def _marks(base: DataFrame, words: int) -> DataFrame:
-    """(doc_id, t, point, n, mask, wide): hashes of the text and of its set, the set's size and parities."""
+    """(doc_id, t, point, n, f0, mask, wide): hashes of the text and of its set, the set's size, SimHash and parities."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        from varilume.llm.simhash import majority
+
         sets = [_set(t, words) for t in raw(batch.column("text"))]
         masks = [pa.array([g(h) for h in sets], pa.list_(pa.int64())) for g in (parities, wide)]
-        cols = [batch.column("doc_id"), batch.column("t"), pa.array([_point(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), *masks]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "point", "n", "mask", "wide"])
+        cols = [batch.column("doc_id"), batch.column("t"), pa.array([_point(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([majority(h) for h in sets], pa.int64()), *masks]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "point", "n", "f0", "mask", "wide"])
 
-    return map_batches(base.select("doc_id", F.xxhash64("text").alias("t"), "text"), f, "doc_id long, t long, point long, n long, mask array<long>, wide array<long>")
+    return map_batches(base.select("doc_id", F.xxhash64("text").alias("t"), "text"), f, "doc_id long, t long, point long, n long, f0 long, mask array<long>, wide array<long>")
 
 
 def _possible(points: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -202,21 +209,25 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Sets are of 64-bit shingle hashes; equal sets meet in one point, so copies cost no pairs. Keys of MANY points or more are
     first linked by stars, each point to the one of the smallest doc_id; all their pairs follow, without those that
-    are joined already, which changes no component. Texts without words are alike; of repeated doc_ids each row is returned.
+    are joined already, which changes no component. SimHash's candidates go through the same exact check as the join's. Texts without words are alike; of repeated doc_ids each row is returned.
     """
+    from varilume.llm import simhash
+
     base = documents(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     marks = cut(_marks(base, words))
-    named = marks.filter("doc_id is not null").groupBy("point").agg(F.min(F.struct("doc_id", "t", "n", "mask", "wide")).alias("x"))
-    points = cut(named.select("point", F.col("x.doc_id").alias("rep"), F.col("x.t").alias("t"), F.col("x.n").alias("n"), F.col("x.mask").alias("mask"), F.col("x.wide").alias("wide")))
+    named = marks.filter("doc_id is not null").groupBy("point").agg(F.min(F.struct("doc_id", "t", "n", "f0", "mask", "wide")).alias("x"))
+    points = cut(named.select("point", F.col("x.doc_id").alias("rep"), F.col("x.t").alias("t"), F.col("x.n").alias("n"), F.col("x.f0").alias("f0"), F.col("x.mask").alias("mask"), F.col("x.wide").alias("wide")))
     marks = marks.select("doc_id", "point")
     some = base.filter("doc_id is not null")
+    near = cut(simhash.candidates(points.select(F.col("point").alias("rep"), "f0"), 1, WIDTH, RADIUS))
+    release(docs.sparkSession)
     found = cut(_candidates(_deal(some, words, _common(some, words), max(4, -(-total // BUCKET_BYTES)))))
     release(docs.sparkSession)
     big = cut(found.filter("kind = 1").select("key", F.col("a").alias("point"), "n", "pos").join(points.select("point", "rep"), "point"))
     centre = big.groupBy("key").agg(F.min(F.struct("rep", "point")).alias("c")).select("key", F.col("c.point").alias("a"))
     stars = big.select("key", F.col("point").alias("b")).join(centre, "key").filter("a != b").select("a", "b").distinct()
-    early = _alike(some, points, cut(found.filter("kind = 0").select("a", "b").unionByName(stars).distinct()), words)
+    early = _alike(some, points, cut(near.unionByName(found.filter("kind = 0").select("a", "b")).unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()), words)
     comp = components(early, "a", "b")
     label = big.join(comp, big["rep"] == comp["node"], "left").select("key", "point", "n", "pos", F.coalesce("component", "rep").alias("label"))
     # keys under which all has one label have no link to add
@@ -225,9 +236,9 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     masked = label.join(points.select("point", "mask", "wide"), "point")
     side = lambda s: masked.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("point", "n", "pos", "label", "wide")), *(F.get("mask", F.lit(i)).alias(f"{s}{i}") for i in range(MASK)))
     p, q = LEAST
-    near = F.expr(f"point_a < point_b and label_a != label_b and {q} * least(n_a, n_b) >= {p} * greatest(n_a, n_b) and {p + q} * least(n_a - pos_a, n_b - pos_b) >= {p} * (n_a + n_b)")
+    able = F.expr(f"point_a < point_b and label_a != label_b and {q} * least(n_a, n_b) >= {p} * greatest(n_a, n_b) and {p + q} * least(n_a - pos_a, n_b - pos_b) >= {p} * (n_a + n_b)")
     a, b = side("a"), side("b")
-    rest = cut(a.join(b, (a["key"] == b["key"]) & near & _near()).select(F.col("point_a").alias("a"), F.col("point_b").alias("b")).distinct())
+    rest = cut(a.join(b, (a["key"] == b["key"]) & able & _near()).select(F.col("point_a").alias("a"), F.col("point_b").alias("b")).distinct())
     links = early if rest.isEmpty() else early.unionByName(_alike(some, points, rest, words))
     comp = components(links, "a", "b")
     joined = points.join(comp, points["rep"] == comp["node"], "left").select("point", F.coalesce("component", "rep").alias("component_id"))

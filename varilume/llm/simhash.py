@@ -92,8 +92,8 @@ def stars(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
     return far.join(centre, "key").filter((F.col("a") != F.col("b")) & (_away(names) <= radius)).select("a", "b")
 
 
-def links(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
-    """(a, b), labels of points (rep, label, f0..) of different labels whose fingerprints differ by radius bits at most.
+def links(points: DataFrame, lanes: int, width: int, radius: int, ends: tuple[str, str] = ("la", "lb")) -> DataFrame:
+    """(a, b), labels of points (rep, label, f0..) of different labels whose fingerprints differ by radius bits at most; ends a, b: the points.
 
     Each fingerprint is cut into segments of width bits. A point enters the table under each segment's
     value and probes it with the Hamming ball of radius 1 around that value; a flip from 0 to 1 suffices,
@@ -117,7 +117,16 @@ def links(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
 
     first = reduce(lambda rest, i: F.when(nearby(*segments[i]), F.lit(i)).otherwise(rest), reversed(range(len(segments))), F.lit(-1))
     on = (probe["key"] == tab["key"]) & (~F.col("exact") | (F.col("a") < F.col("b"))) & (F.col("la") != F.col("lb")) & (_away(names) <= radius) & (first == F.shiftright(tab["key"], width))
-    return probe.join(tab.hint("merge"), on).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    return probe.join(tab.hint("merge"), on).select(F.col(ends[0]).alias("a"), F.col(ends[1]).alias("b")).distinct()
+
+
+def candidates(points: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
+    """(a, b): pairs of points (rep, f0..) for an exact check, found by multi-index hashing: the stars, and the links between
+    points that no star joins. A pair that stars join without a link of its own is not given."""
+    star = cut(stars(points, lanes, width, radius))
+    early = components(star, "a", "b")
+    points = cut(points.join(early, points["rep"] == early["node"], "left").select("rep", *(f"f{i}" for i in range(lanes)), F.coalesce("component", "rep").alias("label")))
+    return star.unionByName(links(points, lanes, width, radius, ("a", "b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _value(prefix: str, lane: int, shift: int, width: int) -> Column:
@@ -151,8 +160,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 3, width: int
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs without all but the document of the smallest doc_id of each component of shingle sets of Jaccard likeness 0.8 or more.
 
-    No workable radius of SimHash finds all such pairs (about 29 of 192 bits differ at 0.8, give or take 5), so they come from
-    the exact join of ``alike``; repeated doc_ids stay together.
+    Pairs come from SimHash by multi-index hashing, and each is kept on its whole sets alone. No workable radius finds all
+    such pairs (about 29 of 192 bits differ at 0.8, give or take 5), so the exact join of ``alike`` adds those that
+    SimHash misses; repeated doc_ids stay together.
     """
     gone = alike.near_duplicates(docs, words).filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
