@@ -149,6 +149,17 @@ def test_sort_sees_shared_windows_alone(monkeypatch):
     assert max(seen) < sum(map(len, strings)) / 10
 
 
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    from varilume.llm.components import components
+
+    r = random.Random(14)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(None, 5)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    once = {x.node: x.component for x in components(df, "a", "b").collect()}
+    monkeypatch.setattr("varilume.llm.components.SMALL", 0)
+    assert once == {x.node: x.component for x in components(df, "a", "b").collect()} and once[1040] == 1000
+
+
 def test_wrapped_templates():
     index = licenses.Index(licenses.TEMPLATES, {})
     bsd = b"Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"
